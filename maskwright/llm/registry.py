@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "ngram_join", "quality_rules")
+MODULES = ("exact_dedup", "ngram_join", "quality_rules", "mixing", "packing", "token_output")
 
 
 def _merged(name: str) -> dict:
