@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents in, packed training sequences out, one written table a stage."""
+"""The corpus pipeline: documents in, packed training sequences out, one written table a stage.
+
+Stages up to the mix return the columns of documents; the mix repeats a row as often as it takes it; packing returns
+the pieces of op5. ``run`` writes each stage's table to the shared folder, so a lost executor costs one stage at most.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.llm.common import table, written
 from maskwright.llm.exact_dedup import drop_exact_copies
+from maskwright.llm.mixing import mixed
+from maskwright.llm.ngram_join import drop_similar
+from maskwright.llm.packing import packed
+from maskwright.llm.quality_rules import keep_good
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or are robust outliers go."""
+    return keep_good(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +28,28 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_exact_copies(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("exact_dedup", exact_dedup)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked at Jaccard similarity 0.9, the one with the smallest doc_id stays."""
+    return drop_similar(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights; a document taken twice is two rows."""
+    return mixed(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and where in which sequence they lie."""
+    return packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 #: Robust estimation and packing have no SQL; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None
 
