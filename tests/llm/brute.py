@@ -43,3 +43,30 @@ def similar(rows, n=5, num=90, den=100):
         if d is not None:
             low[find(i)] = min(d, low.get(find(i), d))
     return sorted(((d, len(s), g, low.get(find(i))) for i, ((d, _), s, g) in enumerate(zip(rows, sets, deg))), key=str)
+
+
+def backoff_scores(texts, order, alpha):
+    """(n_words, log_score) of each text, by counting all others anew."""
+    import math
+    from collections import Counter
+
+    docs = [words(ascii_lower(t or "")) for t in texts]
+    counts = [Counter(tuple(d[i : i + k]) for k in range(1, order + 1) for i in range(len(d) - k + 1)) for d in docs]
+    every = sum(counts, Counter())
+    out = []
+    for d, own in zip(docs, counts):
+        n = sum(map(len, docs)) - len(d)
+        c = lambda g: every[g] - own[g]
+        total = 0.0
+        for i, w in enumerate(d):
+            for k in range(min(order - 1, i), -1, -1):
+                g = tuple(d[i - k : i + 1])
+                if k and c(g):
+                    total += math.log(c(g) / c(g[:-1]))
+                    break
+                if not k:
+                    total += math.log(c(g) / n) if c(g) else math.log(1 / (n + 1))
+                else:
+                    total += math.log(alpha)
+        out.append((len(d), total))
+    return out
