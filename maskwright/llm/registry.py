@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("exact_dedup", "ngram_join", "quality_rules", "mixing", "packing", "token_output", "pii", "html_text", "lm_score")
+MODULES = ("exact_dedup", "ngram_join", "quality_rules", "mixing", "packing", "token_output", "pii", "html_text", "lm_score", "line_dedup")
 
 
 def _merged(name: str) -> dict:

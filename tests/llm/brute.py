@@ -70,3 +70,30 @@ def backoff_scores(texts, order, alpha):
                     total += math.log(alpha)
         out.append((len(d), total))
     return out
+
+
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def gone_lines(rows, least=5):
+    """{(doc_id, line)} of [(doc_id, text)] that have an earlier near line."""
+    lines = []
+    for d, t in rows:
+        for i, x in enumerate((t or "").split("\n")):
+            w = words(ascii_lower(x))
+            if w:
+                lines.append(((d is None, d or 0, i), d, i, w))
+    lines.sort(key=lambda x: x[0])
+    out = set()
+    for k, (at, d, i, w) in enumerate(lines):
+        for at2, _, _, v in lines[:k]:
+            if at2 < at and (v == w or min(len(v), len(w)) >= least and abs(len(v) - len(w)) <= 1 and word_distance(v, w) <= 1):
+                out.add((d, i))
+                break
+    return out
