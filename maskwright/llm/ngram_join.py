@@ -22,8 +22,8 @@ from .components import connected_components
 WORDS, NUM, DEN = 5, 90, 100
 #: N-grams that so many classes hold in their windows come last.
 LATE = 32
-#: Classes a verification block holds about.
-BLOCK = 64
+#: N-grams (8 bytes each) that a verification block holds about.
+BLOCK_GRAMS = 1 << 17
 #: Document ids (8 bytes each) up to which the documents to verify are selected by a broadcast, not a shuffle.
 FEW_IDS = 1_000_000
 
@@ -140,29 +140,29 @@ def _candidates(groups: DataFrame, num: int, den: int) -> DataFrame:
 def _verified(pairs: DataFrame, classes: DataFrame, base: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets are similar.
 
-    Classes that have candidates in common are put into blocks of about BLOCK; a set is sent once to each pair of
-    blocks, not to each pair of classes, and a pair of blocks is verified within one row.
+    Classes that have candidates in common are put into blocks of about BLOCK_GRAMS n-grams; a set is sent once to each
+    pair of blocks, not to each pair of classes, and a pair of blocks is verified within one row.
     """
     ends = pairs.select("a", "b").union(pairs.select("b", "a"))
     near = ends.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("cid"), F.least("a", "b").alias("label"))
-    count = near.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("r"))
-    nodes = written(
-        near.join(count, "label").select("cid", F.xxhash64("label", F.pmod(F.xxhash64("cid"), F.col("r"))).alias("blk")), "nodes"
-    )
+    near = written(near.join(classes.select("cid", "rep", "n", "f1", "f2"), "cid"), "near")
+    count = near.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_GRAMS).alias("r"))
+    block = F.xxhash64("label", F.pmod(F.xxhash64("cid"), F.col("r")))
+    nodes = written(near.join(count, "label").select("cid", "rep", "n", "f1", "f2", block.alias("blk")), "nodes")
     blocked = written(
         pairs.join(nodes.select(F.col("cid").alias("a"), F.col("blk").alias("ka")), "a").join(nodes.select(F.col("cid").alias("b"), F.col("blk").alias("kb")), "b"),
         "blocked",
     )
     needed = blocked.select("ka", "kb", F.col("a").alias("cid")).union(blocked.select("ka", "kb", F.col("b").alias("cid"))).distinct()
-    named = written(nodes.select("cid").join(classes.select("cid", "rep", "n", "f1", "f2"), "cid"), "named")
-    reps = named.select(F.col("rep").alias("__rep")).distinct()
+    needed = needed.join(nodes.select("cid", "n", "f1", "f2"), "cid")
+    reps = nodes.select(F.col("rep").alias("__rep")).distinct()
     if reps.count() <= FEW_IDS:
         reps = F.broadcast(reps)
     w, grams = shingle_set(F.col("text"), n)
     again = base.join(reps, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi").withColumn("__w", w).select(grams.alias("s"))
     again = again.select(F.size("s").alias("n"), F.xxhash64("s").alias("f1"), F.xxhash64(F.lit(n), "s").alias("f2"), "s")
-    sets = again.join(named.select("cid", "n", "f1", "f2"), ["n", "f1", "f2"]).select("cid", "s").dropDuplicates(["cid"])
-    held = needed.join(sets, "cid").groupBy("ka", "kb").agg(F.collect_list(F.struct("cid", "s")).alias("held"))
+    # Rows that share a doc_id may bring a set twice.
+    held = again.join(needed, ["n", "f1", "f2"]).groupBy("ka", "kb").agg(F.collect_set(F.struct("cid", "s")).alias("held"))
     asked = blocked.groupBy("ka", "kb").agg(F.collect_list(F.struct("a", "b")).alias("asked"))
     rows = asked.join(held, ["ka", "kb"]).select("asked", F.map_from_entries("held").alias("of"))
     size = lambda k: F.element_at(F.col("of"), k)

@@ -34,10 +34,10 @@ def run(spark, rows):
     return sorted([tuple(x) for x in J.similar_documents(df).collect()], key=str)
 
 
-@pytest.mark.parametrize("late,block", [(32, 64), (3, 4)])
+@pytest.mark.parametrize("late,block", [(32, 1 << 17), (3, 500)])
 def test_equals_brute_force(spark, monkeypatch, late, block):
     monkeypatch.setattr(J, "LATE", late)
-    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "BLOCK_GRAMS", block)
     rows = corpus()
     assert run(spark, rows) == brute.similar(rows)
 
