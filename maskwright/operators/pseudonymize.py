@@ -83,8 +83,12 @@ def pseudonymize(
         d = d.withColumn("__tokens", F.transform("__values", lambda row: F.transform(row, lambda v: F.coalesce(F.try_element_at(F.col("__odd"), v), plain(v)))))
     names = F.zip_with("__spans", "__tokens", lambda row, t: F.zip_with(row, t, lambda s, x: S.format_token(s["entity_type"], x)))
     done = F.zip_with(F.col("__chunks"), F.zip_with("__spans", names, lambda s, n: F.struct(s.alias("s"), n.alias("n"))), lambda c, x: S.substitute(c, x["s"], x["n"]))
-    out = formats.reassemble(F.col(text), done, format)
-    return Result(d.select(*(out.alias(c) if c == text else F.col(c) for c in cols), F.flatten("__spans").alias("replaced")), table)
+    replaced = F.flatten("__spans").alias("replaced")
+    if isinstance(format, str) and format == "text":
+        return Result(d.select(*(F.get(done, F.lit(0)).alias(c) if c == text else F.col(c) for c in cols), replaced), table)
+    kind = F.lit(format) if isinstance(format, str) else format
+    parts = d.select(*cols, replaced, done.alias("__parts"), kind.alias("__format"))
+    return Result(formats.reassembled(parts, text, "__parts", "__format"), table)
 
 
 def _with_map(d: DataFrame, odd: DataFrame) -> DataFrame:

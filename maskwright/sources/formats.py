@@ -1,6 +1,6 @@
 """Document formats: which parts of a text are looked at, and how they are put back.
 
-``chunks`` gives an array of texts and ``reassemble`` the document with them in place. Plain text is one chunk and stays
+``chunks`` gives an array of texts and ``reassembled`` the documents with them in place. Plain text is one chunk and stays
 native; e-mail, Markdown and XML are parsed in Python, an Arrow batch at a time. What can't be parsed raises.
 """
 
@@ -9,13 +9,15 @@ from __future__ import annotations
 import email
 import email.policy
 import re
+from collections.abc import Iterator
 from email.message import EmailMessage, Message
 from html import escape, unescape
 from html.parser import HTMLParser
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -314,11 +316,6 @@ def _chunks(text: pd.Series, format: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else _PARSERS[f][0](t) for t, f in zip(text, format)], dtype=object)
 
 
-@F.pandas_udf(T.StringType())
-def _reassemble(text: pd.Series, parts: pd.Series, format: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else _PARSERS[f][1](t, list(p)) for t, p, f in zip(text, parts, format)], dtype=object)
-
-
 def chunks(text: Column, format: str | Column) -> Column:
     """The texts looked at; of a null text none. *format* is a name, or a Column of names to mix formats."""
     if isinstance(format, str):
@@ -328,12 +325,19 @@ def chunks(text: Column, format: str | Column) -> Column:
     return F.coalesce(_chunks.asNondeterministic()(text, format), F.array().cast("array<string>"))
 
 
-def reassemble(text: Column, parts: Column, format: str | Column) -> Column:
-    if isinstance(format, str):
-        if format == "text":
-            return F.get(parts, F.lit(0))
-        format = F.lit(format)
-    return _reassemble.asNondeterministic()(text, parts, format)
+def reassembled(df: DataFrame, text: str, parts: str, format: str) -> DataFrame:
+    """*df* without its last two columns *parts* and *format*, with the parts put back into *text*."""
+    names = df.columns
+    at, rest = names.index(text), names[:-2]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(b.column(at).to_pylist(), b.column(len(rest)).to_pylist(), b.column(len(rest) + 1).to_pylist())
+            new = pa.array([None if t is None else _PARSERS[f][1](t, p) for t, p, f in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([new if i == at else b.column(i) for i in range(len(rest))], rest)
+
+    assert names[-2:] == [parts, format]
+    return df.mapInArrow(build, T.StructType(df.schema.fields[:-2]))
 
 
 def shield(format: str | Column) -> tuple[str, Column] | None:
