@@ -1,10 +1,5 @@
 """The named queries over the engine's operators, with DuckDB SQL for each that SQL can express."""
 
-from __future__ import annotations
+from .plans.queries import ORACLE, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
