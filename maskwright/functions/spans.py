@@ -6,6 +6,8 @@ point offsets, end exclusive. Every function here takes and returns Columns, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,11 @@ TOKEN_PATTERN = r"\[\[([A-Z]+)_([a-z0-9]+(?:-\p{Nd}+)?)\]\]"
 WORD = r"\p{L}\p{N}_"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """*body* over *value*, which is computed once: inside lambdas nothing shares common expressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 
@@ -29,9 +36,9 @@ def regex_spans(text: Column, pattern: str, entity_type: str, detector: str, pri
     Offsets are sums of the lengths of matches and of the gaps between them.
     """
     rank = PRIORITY[entity_type] if priority is None else priority
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    both = F.zip_with(found, F.slice(gaps, 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    both = let(found, lambda f: F.zip_with(f, F.slice(gaps, 1, F.size(f)), lambda m, g: F.struct(m.alias("m"), g.alias("g"))))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["g"])
@@ -60,6 +67,10 @@ def outside(spans: Column, taken: Column) -> Column:
 def resolve(spans: Column) -> Column:
     """Greedy choice: longer first, then higher priority, then earlier, then detector name; what overlaps a span already
     chosen goes. Sorted by start. A span that only overlaps rejected ones stays, so this is a fold, not an anti-join."""
+    return let(spans, _resolved)
+
+
+def _resolved(spans: Column) -> Column:
     fields = ("start", "end", "text", "entity_type", "detector_name", "priority")
     keyed = F.transform(
         spans,

@@ -71,7 +71,7 @@ def pseudonymize_nested(df: DataFrame, secret: Secret, columns: list[str], detec
 
     def leaf(t: Column) -> Column:
         token = lambda s: F.coalesce(F.try_element_at(F.col("__odd"), s["text"]), F.left(hmac_hex(s["text"], F.col("__ipad"), F.col("__opad")), F.lit(8)))
-        return F.when(t.isNotNull(), F.get(F.transform(F.array(spans_of(t)), lambda s: S.substitute(t, s, F.transform(s, lambda x: S.format_token(x["entity_type"], token(x))))), F.lit(0)))
+        return F.when(t.isNotNull(), S.let(spans_of(t), lambda s: S.substitute(t, s, F.transform(s, lambda x: S.format_token(x["entity_type"], token(x))))))
 
     return Result(d.select(*(map_leaves(F.col(c), kinds[c], leaf).alias(c) if c in kinds else F.col(c) for c in df.columns)), table)
 
@@ -86,7 +86,7 @@ def restore_nested(df: DataFrame, mapping: DataFrame, columns: list[str]) -> Dat
     def leaf(t: Column) -> Column:
         back = F.transform(_tokens(t, F.lit("")), lambda m: F.coalesce(F.try_element_at(F.col("__of"), m["token"]), m["text"]))
         gaps = F.split(t, S.TOKEN_PATTERN, -1)
-        return F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(back, i), F.lit("")))), "")
+        return S.let(back, lambda b: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(b, i), F.lit("")))), ""))
 
     whole = lambda t: F.when(t.isNotNull(), leaf(t))
     return d.select(*(map_leaves(F.col(c), df.schema[c].dataType, whole).alias(c) if c in columns else F.col(c) for c in df.columns))

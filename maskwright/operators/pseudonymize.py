@@ -41,7 +41,7 @@ def find_spans(chunks: Column, detectors: list[Detector], shield: tuple[str, Col
         taken = S.own_tokens(text)
         if shield:
             taken = F.concat(taken, F.when(shield[1], S.regex_spans(text, shield[0], "PERSON", "__shield__", 9999)).otherwise(S.no_spans()))
-        return S.resolve(F.when(F.size(raw) == 0, raw).otherwise(S.outside(raw, taken)))
+        return S.let(raw, lambda r: F.when(F.size(r) == 0, r).otherwise(S.resolve(S.outside(r, taken))))
 
     if any(d.python for d in detectors):
         return F.zip_with(chunks, F.zip_with(chunks, python_spans(chunks, detectors), lambda t, p: F.concat(one(t), p)), settle)
@@ -144,7 +144,7 @@ def restore(docs: DataFrame, mapping: DataFrame, *, text: str = "text", order: s
         d = d.join(of, "__row", "left").withColumn("__of", F.coalesce("__of", F.create_map().cast("map<string,string>")))
     back = F.transform(_tokens(F.col(text), scope), lambda m: F.coalesce(F.try_element_at(F.col("__of"), m["token"]), F.try_element_at(F.col("__of"), m["full"]), m["text"]))
     gaps = F.split(F.col(text), S.TOKEN_PATTERN, -1)
-    whole = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(back, i), F.lit("")))), "")
+    whole = S.let(back, lambda b: F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(b, i), F.lit("")))), ""))
     out = F.when(F.contains(F.col(text), F.lit("[[")), whole).otherwise(F.col(text))
     return d.select(*(out.alias(c) if c == text else F.col(c) for c in docs.columns))
 
