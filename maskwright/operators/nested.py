@@ -65,7 +65,7 @@ def pseudonymize_nested(df: DataFrame, secret: Secret, columns: list[str], detec
     kinds = {c: df.schema[c].dataType for c in columns}
     texts = F.concat(*(leaves(F.col(c), k) for c, k in kinds.items()))
     found = df.select(F.col(order).alias("o"), F.posexplode(texts).alias("i", "t")).select("o", "i", F.explode(spans_of(F.col("t"))).alias("s"))
-    table = allocate(found.select(F.col("s.text").alias("original"), "s.entity_type", F.struct("o", "i", "s.start").alias("seen")), secret, mapping)
+    table = allocate(found.select(F.col("s.text").alias("original"), "s.entity_type", F.struct("o", "i", "s.start").alias("seen")), secret, mapping).persist()
     odd = table.where((F.col("mode") == "hmac") & F.contains("token", F.lit("-"))).select("original", "token")
     d = _with_map(with_pads(df, secret), odd)
 

@@ -23,7 +23,8 @@ FEW_ENTRIES = 50_000
 
 @dataclass(frozen=True)
 class Result:
-    """documents: the input's columns with the new text, and replaced, its spans; mapping: old and new entries."""
+    """documents: the input's columns with the new text, and replaced, its spans; mapping: old and new entries, cached if
+    tokens are hashed, until unpersist() is called on it."""
 
     documents: DataFrame
     mapping: DataFrame
@@ -76,7 +77,8 @@ def pseudonymize(
     else:
         flat = d.select(F.col(order).alias("__o"), F.posexplode(seen).alias("c", "row")).select("__o", "c", F.explode("row").alias("x"))
         found = flat.select("x.original", "x.entity_type", F.struct("__o", "c", F.col("x.start").alias("s")).alias("seen"))
-        table = allocate(found, secret, mapping, digits)
+        # Cached, so that texts are searched once for values and once for replacing; a lost part is computed again.
+        table = allocate(found, secret, mapping, digits).persist()
         odd = table.where((F.col("mode") == "hmac") & F.contains("token", F.lit("-"))).select("original", "token")
         d = _with_map(with_pads(d, secret), odd)
         plain = lambda v: F.left(hmac_hex(v, F.col("__ipad"), F.col("__opad")), F.lit(digits))

@@ -32,15 +32,22 @@ def load_mapping(spark: SparkSession, folder: str) -> DataFrame:
 
 def batch(messages: DataFrame, secret: Secret, mapping_folder: str, detectors: list[Detector] | None = None, *, trusted: bool = False, fail_open: bool = False) -> DataFrame:
     """One batch of (id, direction, kind, text, ...): the messages as they go on."""
+    return _batch(messages, secret, mapping_folder, detectors, trusted, fail_open)[0]
+
+
+def _batch(messages: DataFrame, secret: Secret, mapping_folder: str, detectors: list[Detector] | None, trusted: bool, fail_open: bool) -> tuple[DataFrame, DataFrame]:
+    """The messages, and the mapping that is cached for them."""
     spark = messages.sparkSession
     held = load_mapping(spark, mapping_folder)
     looked_at = F.col("kind").isin(*TEXT_KINDS) & F.col("text").isNotNull()
     out = messages.where((F.col("direction") == "response") & looked_at)
     requests = messages.where((F.col("direction") == "request") & looked_at)
     rest = messages.where(~F.coalesce(looked_at & F.col("direction").isin("response", "request"), F.lit(False)))
+    table = held
     try:
         result = pseudonymize(out, secret, detectors, mapping=held, order="id")
-        new = result.mapping.join(held.select("token"), "token", "left_anti").select(held.columns)
+        table = result.mapping
+        new = table.join(held.select("token"), "token", "left_anti").select(held.columns)
         if new.take(1):
             new.write.mode("append").parquet(mapping_folder)
         done = result.documents.select(messages.columns)
@@ -50,7 +57,7 @@ def batch(messages: DataFrame, secret: Secret, mapping_folder: str, detectors: l
         log.warning("a batch could not be pseudonymised and passes as it is")  # never its texts
         done = out
     back = restore(requests, held, order="id") if trusted else requests
-    return done.unionByName(back).unionByName(rest)
+    return done.unionByName(back).unionByName(rest), table
 
 
 def start(messages: DataFrame, secret: Secret, mapping_folder: str, output: str, checkpoint: str, detectors: list[Detector] | None = None, *, trusted: bool = False, fail_open: bool = False) -> StreamingQuery:
@@ -59,7 +66,9 @@ def start(messages: DataFrame, secret: Secret, mapping_folder: str, output: str,
     def work(df: DataFrame, epoch: int) -> None:
         df.persist()
         try:
-            batch(df, secret, mapping_folder, detectors, trusted=trusted, fail_open=fail_open).write.mode("overwrite").parquet(f"{output}/batch={epoch}")
+            out, table = _batch(df, secret, mapping_folder, detectors, trusted, fail_open)
+            out.write.mode("overwrite").parquet(f"{output}/batch={epoch}")
+            table.unpersist()
         finally:
             df.unpersist()
 
