@@ -27,6 +27,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
 #: Documents that the field is fitted on: those whose hashed ids come first, of those with any node.
 TRAINING_DOCUMENTS = 1000
+#: Tasks that merge the tasks' choices of them.
+MERGERS = 4
 #: Nodes of a training document; longer ones aren't used for training.
 TRAINING_NODES = 500
 SURE = 0.8
@@ -314,7 +316,16 @@ def training_graphs(docs: DataFrame, limit: int = TRAINING_DOCUMENTS) -> list[Gr
         held = sorted(held)[:limit]
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.binary()), pa.array([g for _, g in held], pa.binary())], ["h", "g"])
 
-    top = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(build, "h binary, g binary").orderBy("h").limit(limit).collect()
+    def fewer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes]] = []
+        for b in batches:
+            held = sorted(held + list(zip(b.column(0).to_pylist(), b.column(1).to_pylist())))[:limit]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.binary()), pa.array([g for _, g in held], pa.binary())], ["h", "g"])
+
+    schema = "h binary, g binary"
+    # Merged by a few tasks first, so that what reaches the driver doesn't grow with the number of tasks.
+    some = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(build, schema).repartition(MERGERS, "h").mapInArrow(fewer, schema)
+    top = some.orderBy("h").limit(limit).collect()
     out = [pickle.loads(r.g) for r in top]
     for g in out:
         g.features = np.unpackbits(g.features, axis=1)[:, :N_FEATURES].astype(np.float32)
