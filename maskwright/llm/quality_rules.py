@@ -27,7 +27,7 @@ LEAST_ROWS = 60
 #: Chance that a document of a normally distributed group lies beyond the cut.
 TAIL = 1e-15
 #: Standard deviations added in quadrature to each statistic's own, so that constant statistics don't reject trifles.
-FLOORS = {"x1": 0.5, "x2": 0.06, "x3": 0.25, "x4": 0.06, "x5": 0.4}
+FLOORS = {"x1": 0.5, "x2": 0.06, "x3": 0.15, "x4": 0.12, "x5": 0.6}
 X = list(FLOORS)
 P = len(X)
 LOW = [(i, j) for i in range(P) for j in range(i + 1)]
