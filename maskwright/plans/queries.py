@@ -203,7 +203,7 @@ def sidecar_roundtrip(spark, sf):
 def stream_pseudonymized(spark, sf):
     """The documents as a stream of responses; files go to the shared folder, or a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-stream-")
-    where = [f"{base.removeprefix('file://')}/stream-{os.urandom(6).hex()}/{x}" for x in ("mapping", "out", "state")]
+    where = [f"{base}/stream-{os.urandom(6).hex()}/{x}" for x in ("mapping", "out", "state")]
     kind = spark.read.parquet(os.path.join(sf, "documents.parquet")).schema
     d = spark.readStream.schema(kind).parquet(os.path.join(sf, "documents.parquet*"))
     messages = d.select(F.col("doc_id").alias("id"), F.lit("response").alias("direction"), F.lit("text").alias("kind"), "text")

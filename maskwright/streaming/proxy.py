@@ -8,8 +8,6 @@ mapping, so replays give what the first run gave.
 from __future__ import annotations
 
 import logging
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -25,9 +23,10 @@ TEXT_KINDS = ("text", "resource", "structured", "meta")
 
 
 def load_mapping(spark: SparkSession, folder: str) -> DataFrame:
-    if "://" not in folder and not any(Path(folder).glob("*.parquet")):
-        return empty_mapping(spark)
-    return spark.read.schema(SCHEMA).parquet(folder)
+    """The mapping in *folder*, on whatever file system; empty where there is none yet."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    found = files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files)
+    return spark.read.schema(SCHEMA).parquet(folder) if found else empty_mapping(spark)
 
 
 def batch(messages: DataFrame, secret: Secret, mapping_folder: str, detectors: list[Detector] | None = None, *, trusted: bool = False, fail_open: bool = False) -> DataFrame:
