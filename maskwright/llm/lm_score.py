@@ -20,7 +20,7 @@ from .common import table
 
 ORDER, BACKOFF = 2, 0.4
 #: Bytes of text to a batch, about; what one task holds, with its n-grams.
-BATCH_BYTES = 12_000_000
+BATCH_BYTES = 9_000_000
 LOW_BITS = 40
 _K = np.uint64(0x9E3779B97F4A7C15)
 
