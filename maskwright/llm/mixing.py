@@ -26,7 +26,7 @@ def _size(text: Column) -> Column:
 
 def quality_weight() -> Column:
     """A document's sampling weight in (0, 1]: the share of its characters that are letters, digits or blanks, squared;
-    1 for empty texts. Over the columns text and __n."""
+    1 for empty texts. Over the column text."""
     plain = F.length("text") - F.regexp_count("text", F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()\-]"))
     return F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.01), F.pow(plain / F.length("text"), F.lit(2.0))))
 
