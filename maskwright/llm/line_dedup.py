@@ -1,15 +1,16 @@
-"""Line deduplication across documents: a deletion-neighbourhood join on words.
-
-Lines count by their words, A-Z lower-cased. Two lines are near when they are equal, or when both have LEAST_WORDS
-words or more and one word replaced, inserted or deleted turns one into the other. A line goes if an earlier one, by
-doc_id and line number, is near.
-
-Every line that can have a near one emits the hashes of its variants with one word deleted. Lines that differ in the
-word at one place share the variant without it; a line with a word more has a variant equal to the shorter line. Only
-the earliest line of a variant is ever paired with the others, so no group is expanded to pairs. Which lines can have a near
-one is found first, exactly and with four hashes a line: near lines agree in their first or in their second half.
-Hashes only propose: each line that would go is verified by its edit distance from the earlier line. Only DataFrame
-operations are used.
+"""Line deduplication across documents: exact segments, then deletion neighbourhoods on words.
+
+Lines count by their words, A-Z lower-cased. Two lines are near when they are equal, or when few enough words replaced,
+inserted or deleted turn one into the other: one for every LEAST_WORDS words of the shorter line, and no more than the
+bound. A line goes if an earlier one, by doc_id and line number, is near.
+
+Lines within e edits agree in one of e + 1 segments of the shorter one, which lies shifted by e words at most in the
+other; every line emits the hashes of these segments. Lines that share one with few others are paired with them, and
+pairs go on whose word parities differ in no more bits than the edits can change. Lines of large groups emit the hashes
+of their variants without up to e words and the gaps these left: two lines with the same variant are no further apart
+than the union of their gaps. Of a variant and its gaps only the earliest line is paired with the others, so no large
+group is expanded to pairs. Hashes only propose: each line that would go is verified by its edit distance from the
+earlier line. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from pyspark.sql import functions as F
 from .common import BLANKS, ascii_lower, table, words, written
 
 LEAST_WORDS = 5
+#: Edits at most, in production.
+BOUND = 2
+#: Lines that share a segment up to which all are paired: this many, or this share of their squared length.
+FEW_LINES, FEW_OF_SQUARE = 64, 1 / 64
 #: Document ids (8 bytes each) up to which documents are selected by a broadcast, not a shuffle.
 FEW_IDS = 1_000_000
 
@@ -31,13 +36,34 @@ def _lines(docs: DataFrame, *more: str) -> DataFrame:
     return d.where(F.btrim("t", F.lit(BLANKS)) != "").select("doc_id", *more, "line", words(F.col("t")).alias("w"))
 
 
-def _halves(size: Column) -> list[Column]:
-    """Hashes of the first and second half of a line of *size* words, tagged by it; the words are w, their hashes h."""
-    first = F.floor(size / 2).cast("int")
-    return [
-        F.xxhash64(F.lit("a"), size, F.slice("h", 1, first)),
-        F.xxhash64(F.lit("b"), size, F.slice("h", -(size - first), size - first)),
-    ]
+def _edits(size: Column, bound: int) -> Column:
+    """Edits allowed to a line of *size* words."""
+    return F.least(F.lit(bound), F.floor(size / LEAST_WORDS).cast("int"))
+
+
+def _segments(size: Column, more: int, edits: int) -> Column:
+    """Hashes of where the segments of a near line with *more* fewer words than this one may lie in it; the words' hashes are h."""
+    of, keys = size - more, []
+    for s in range(edits + 1):
+        begin, end = (F.floor(of * k / (edits + 1)).cast("int") for k in (s, s + 1))
+        if s in (0, edits):
+            shifts = [more if s else 0]
+        else:  # words added before the segment; were all edits on one side, the first or last segment would be whole
+            shifts = [k for k in range(-edits, edits + 1) if abs(k) + abs(more - k) <= edits and not (more == edits and k in (0, more))]
+        keys += [F.xxhash64(F.lit(s), of, F.slice("h", begin + 1 + k, end - begin)) for k in shifts]
+    return F.array(*keys)
+
+
+def _keys(size: Column, bound: int) -> Column:
+    none = F.array().cast("array<bigint>")
+    per = []
+    for more in range(bound + 1):
+        allowed = _edits(size - more, bound)
+        c = F.when(F.lit(False), none)
+        for edits in range(max(1, more), bound + 1):
+            c = c.when(allowed == edits, _segments(size, more, edits))
+        per.append(c.otherwise(none))
+    return F.array_distinct(F.concat(*per))
 
 
 def _order() -> Column:
@@ -45,46 +71,67 @@ def _order() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line")
 
 
-def edit_distance_at_most_one(a: Column, b: Column) -> Column:
-    """Whether one word replaced, inserted or deleted, or none, turns array a into array b."""
-    short, long_ = F.when(F.size(a) <= F.size(b), a).otherwise(b), F.when(F.size(a) <= F.size(b), b).otherwise(a)
-    differ = F.filter(F.zip_with(short, long_, lambda x, y: ~x.eqNullSafe(y)), lambda x: x)
-    # How far both agree from the front; the rest must agree from the back.
-    front = F.coalesce(F.array_position(F.zip_with(short, long_, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int") - 1, F.size(short))
-    rest = F.size(short) - front
-    tail = lambda c, n: F.when(n > 0, F.slice(c, F.size(c) - n + 1, F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(a) == F.size(b), F.size(differ) <= 1).when(F.size(long_) - F.size(short) == 1, tail(short, rest) == tail(long_, rest)).otherwise(False)
+def within_edits(a: Column, b: Column, edits: Column, bound: int) -> Column:
+    """Whether at most *edits*, itself at most *bound*, words replaced, inserted or deleted turn array a into array b.
+
+    After each edit, how far into a every diagonal of the alignment (place in b less that in a) can have come.
+    """
+    n, m = F.size(a), F.size(b)
 
+    def along(i: Column, diagonal: Column) -> Column:
+        left = F.least(n - i, m - i - diagonal)
+        differ = F.array_position(F.zip_with(F.slice(a, i + 1, left), F.slice(b, i + diagonal + 1, left), lambda x, y: x == y), F.lit(False)).cast("int")
+        return F.when((i < 0) | (left <= 0), i).otherwise(i + F.when(differ > 0, differ - 1).otherwise(left))
 
-def near_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line, kept_doc_id, kept_line: the lines that go, and the earliest line that is near each.
+    def step(at: Column, _: Column) -> Column:
+        moved = F.transform(at, lambda i, k: F.least(n, m - (k - bound), F.greatest(i + 1, F.when(k > 0, F.get(at, k - 1)), F.get(at, k + 1) + 1)))
+        return F.transform(moved, lambda i, k: along(i, k - bound))
+
+    start = F.array(*(F.lit(0 if k == bound else -2 * bound - 2) for k in range(2 * bound + 1)))
+    start = F.transform(start, lambda i, k: along(i, k - bound))
+    steps = F.filter(F.array(*(F.lit(k) for k in range(1, bound + 1))), lambda k: k <= edits)
+    return F.coalesce(F.get(F.aggregate(steps, start, step), m - n + bound) >= n, F.lit(False))
+
+
+def near_lines(docs: DataFrame, bound: int = 1) -> DataFrame:
+    """doc_id, line, kept_doc_id, kept_line: the lines that go, and the earliest line that is near each, with *bound*
+    edits at most.
 
     Lines without words never go and never make others go. Repeated doc_ids with the same text count as one document:
     its lines stay where they are earliest. A written table.
     """
+    if bound < 1:
+        raise ValueError("bound must be at least 1")
     lines = _lines(docs).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     size = F.size("h")
-    enough = size >= LEAST_WORDS
-    keys = F.when(enough, F.array(*_halves(size), *_halves(size - 1))).otherwise(F.array().cast("array<bigint>"))
+    # Of 64 classes of words, which the line has an odd number of; an edit changes two bits at most.
+    odd = F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     all_ = written(
-        lines.select("doc_id", "line", size.alias("n"), F.xxhash64("h").alias("f"), F.xxhash64(F.lit(1), "h").alias("f2"), keys.alias("keys")), "lines"
+        lines.select("doc_id", "line", size.alias("n"), F.xxhash64("h").alias("f"), F.xxhash64(F.lit(1), "h").alias("f2"), odd.alias("odd"), _keys(size, bound).alias("keys")), "lines"
     )
-    first = written(all_.groupBy("f", "f2", "n").agg(F.min(_order()).alias("at"), F.first("keys").alias("keys")), "distinct")
-    some = first.where(F.size("keys") > 0).select("f", "f2", "at", F.explode("keys").alias("k"))
-    shared = some.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    likely = some.join(shared, "k", "left_semi").select("f", "f2", "at").distinct()
+    first = written(all_.groupBy("f", "f2", "n").agg(F.min(_order()).alias("at"), F.first("odd").alias("odd"), F.first("keys").alias("keys")), "distinct")
+    some = first.where(F.size("keys") > 0).select("f", "n", F.explode("keys").alias("k"))
+    shared = some.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most")).where("c > 1")
+    few = F.col("c") <= F.greatest(F.lit(FEW_LINES), F.col("most") * F.col("most") * FEW_OF_SQUARE)
+    hits = written(some.select("f", "k").join(shared.select("k", few.alias("few")), "k"), "shared")
+    few_hits = hits.where("few").select("k", "f")
+    pairs = few_hits.join(few_hits.withColumnRenamed("f", "g"), "k").where("f < g").select("f", "g").distinct()
+    ends = first.where(F.size("keys") > 0).select("f", "n", "at", "odd")
+    pairs = pairs.join(ends, "f").join(ends.withColumnsRenamed({"f": "g", "n": "m", "at": "to", "odd": "odds"}), "g")
+    edits = _edits(F.least("n", "m"), bound)
+    pairs = pairs.where((F.abs(F.col("n") - F.col("m")) <= edits) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("odds"))) <= 2 * edits))
+    pairs = pairs.select(F.greatest("at", "to").alias("at"), F.least("at", "to").alias("top"))
+    likely = first.join(hits.where("NOT few").select("f").distinct(), "f", "left_semi")
     likely = written(likely.select("f", "f2", "at.doc_id", "at.line"), "likely")
-    variants = _variants(docs, likely)
-    # At each variant all are near the earliest: lines replaced at one place, or the line that is the variant itself.
-    replaced = variants.where("place >= 0")
-    tops = replaced.groupBy("v", "place").agg(F.min("at").alias("top"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    near = replaced.join(tops, ["v", "place"]).where("at > top").select("at", "top")
-    whole = variants.where("place < 0").select("v", F.col("at").alias("own"))
-    longer = replaced.join(whole, "v")
-    near = near.union(longer.where("own < at").select("at", F.col("own").alias("top")))
-    shorter = longer.where("at < own").groupBy("own").agg(F.min("at").alias("top")).select(F.col("own").alias("at"), "top")
-    proposed = written(near.union(shorter).groupBy("at").agg(F.array_sort(F.collect_set("top")).alias("tops")), "proposed")
-    checked = _verified(docs, proposed)
+    variants = _variants(docs, likely, bound)
+    tops = variants.groupBy("v", "gaps").agg(F.min("at").alias("top"))
+    several = variants.groupBy("v").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a < b").select("v")
+    tops = written(tops.join(several, "v", "left_semi"), "tops")
+    other = tops.select("v", F.col("gaps").alias("other"), F.col("top").alias("by"))
+    best = tops.join(other, "v").where(F.size(F.array_union("gaps", "other")) <= bound).groupBy("v", "gaps").agg(F.collect_set("by").alias("by"))
+    grouped = variants.join(best, ["v", "gaps"]).select("at", F.explode("by").alias("top")).where("at > top")
+    proposed = written(pairs.union(grouped).groupBy("at").agg(F.array_sort(F.collect_set("top")).alias("tops")), "proposed")
+    checked = _verified(docs, proposed, bound)
     # Every line goes that equals an earlier one, or whose text goes for an earlier near one.
     verdict = first.select("f", "f2", "n", F.col("at").alias("first")).join(checked, F.col("first") == F.col("at"), "left").select("f", "f2", "n", "first", "top")
     out = all_.withColumn("at", _order()).join(verdict, ["f", "f2", "n"])
@@ -102,31 +149,41 @@ def _picked(docs: DataFrame, places: DataFrame) -> DataFrame:
     return _lines(d, "__want").where(F.array_contains("__want", F.col("line"))).select("doc_id", "line", "w")
 
 
-def _variants(docs: DataFrame, likely: DataFrame) -> DataFrame:
-    """v, place, at: hashes of the likely lines (place -1) and of their variants without the word at place."""
+def _variants(docs: DataFrame, likely: DataFrame, bound: int) -> DataFrame:
+    """v, gaps, at: hashes of the likely lines and of their variants without as many words as may be edited, and the
+    gaps where these stood; a gap's number is its place times bound, and one more for each further word of it."""
     d = _picked(docs, likely.select("doc_id", "line")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     d = d.withColumn("f", F.xxhash64("h")).withColumn("f2", F.xxhash64(F.lit(1), "h"))
     d = d.join(likely.select("doc_id", "line", "f", "f2").withColumnsRenamed({"doc_id": "__id", "line": "__l"}), ["f", "f2"]).where(F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__l") == F.col("line")))
-    d = d.select(_order().alias("at"), "h").distinct()
-    without = F.transform(F.sequence(F.lit(1), F.size("h")), lambda i: F.xxhash64(F.concat(F.slice("h", 1, i - 1), F.slice("h", i + 1, F.size("h")))))
-    v = d.select("at", F.posexplode(F.concat(F.array(F.xxhash64("h")), without)).alias("place", "v"))
-    return written(v.select("v", (F.col("place") - 1).alias("place"), "at"), "variants")
-
-
-def _verified(docs: DataFrame, proposed: DataFrame) -> DataFrame:
-    """at, top: the earliest of the proposed lines whose edit distance is at most one."""
+    step = d.select(_order().alias("at"), "h").distinct().select("at", "h", _edits(F.size("h"), bound).alias("edits"), F.array().cast("array<int>").alias("gaps"), F.lit(0).alias("place"))
+    v = step
+    for k in range(1, bound + 1):
+        # Words go from front to back, so that each choice of words is taken once.
+        left = step.where((F.col("edits") >= k) & (F.col("place") < F.size("h")))
+        left = left.select("at", "h", "edits", "gaps", F.col("place").alias("last"), F.explode(F.sequence("place", F.size("h") - 1)).alias("place"))
+        gap = F.when((F.size("gaps") > 0) & (F.col("place") == F.col("last")), F.element_at("gaps", -1) + 1) if k > 1 else F.when(F.lit(False), F.lit(0))
+        gap = gap.otherwise(F.col("place") * bound)
+        rest = F.concat(F.slice("h", F.lit(1), F.col("place")), F.slice("h", F.col("place") + 2, F.size("h")))
+        step = left.select("at", rest.alias("h"), "edits", F.concat("gaps", F.array(gap)).alias("gaps"), "place")
+        v = v.union(step)
+    return written(v.select(F.xxhash64("h").alias("v"), "gaps", "at"), "variants")
+
+
+def _verified(docs: DataFrame, proposed: DataFrame, bound: int) -> DataFrame:
+    """at, top: the earliest of the proposed lines that are near."""
     pair = proposed.select("at", F.explode("tops").alias("top"))
     ends = pair.select("at.doc_id", "at.line").union(pair.select("top.doc_id", "top.line")).distinct()
     texts = written(_picked(docs, ends).select(_order().alias("p"), "w").distinct(), "texts")
     a, b = texts.select(F.col("p").alias("at"), F.col("w").alias("wa")), texts.select(F.col("p").alias("top"), F.col("w").alias("wb"))
-    sure = pair.join(a, "at").join(b, "top").where(edit_distance_at_most_one(F.col("wa"), F.col("wb")))
+    edits = _edits(F.least(F.size("wa"), F.size("wb")), bound)
+    sure = pair.join(a, "at").join(b, "top").where(within_edits(F.col("wa"), F.col("wb"), edits, bound))
     return written(sure.groupBy("at").agg(F.min("top").alias("top")), "verified")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, bound: int = BOUND) -> DataFrame:
     """The rows of *docs*, all columns, without the lines that go; other lines, blank ones too, stay as they are. A
     null text stays null; a document all of whose lines go has an empty one."""
-    gone = near_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    gone = near_lines(docs, bound).groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
     d = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
     return d.select(*(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns))
@@ -135,7 +192,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (with words), n_gone, gone (their numbers, from 0) of every document."""
     docs = table(spark, sf_dir, "documents")
-    gone = near_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone")).withColumnRenamed("doc_id", "__id")
+    gone = near_lines(docs, BOUND).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone")).withColumnRenamed("doc_id", "__id")
     has = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), has.alias("n_lines"))
     d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from maskwright.llm import line_dedup as L
 
 from . import brute
@@ -45,3 +48,26 @@ def test_cleaned_documents_keep_columns_and_rows(spark):
 
 def test_no_rows(spark):
     assert L.near_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def gone_within(rows, bound):
+    """As brute.gone_lines, for any bound: an edit for every five words of the shorter line, at most *bound*."""
+    lines = sorted(((d is None, d or 0, i), d, i, brute.words(brute.ascii_lower(x))) for d, t in rows for i, x in enumerate((t or "").split("\n")) if brute.words(x))
+    near = lambda v, w: v == w or brute.word_distance(v, w) <= min(bound, min(len(v), len(w)) // L.LEAST_WORDS)
+    return {(d, i) for k, (at, d, i, w) in enumerate(lines) if any(x[0] < at and near(x[3], w) for x in lines[:k])}
+
+
+@pytest.mark.parametrize("bound,few", [(1, 3), (2, 1), (2, 64), (3, 3)])
+def test_any_bound_equals_brute_force(spark, monkeypatch, bound, few):
+    monkeypatch.setattr(L, "FEW_LINES", few)
+    monkeypatch.setattr(L, "FEW_OF_SQUARE", 0.0)
+    rows = [(d, t) for d, t in corpus() if d is not None]
+    got = {(x.doc_id, x.line) for x in L.near_lines(spark.createDataFrame(rows, "doc_id long, text string"), bound).collect()}
+    assert got == gone_within(rows, bound)
+
+
+def test_long_line_with_two_edits_goes_in_production(spark, tmp_path):
+    w = [f"w{i}" for i in range(50)]
+    rows = [(1, " ".join(w)), (2, " ".join("x" if i in (7, 31) else x for i, x in enumerate(w))), (3, " ".join(w[:20] + ["x"] + w[20:40] + w[41:])), (4, " ".join("x" if i in (7, 20, 31) else x for i, x in enumerate(w)))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id: x.n_gone for x in L.op6_line_dedup(spark, str(tmp_path)).select("doc_id", F.col("n_gone")).collect()} == {1: 0, 2: 1, 3: 1, 4: 1}
