@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: Bytes of text to a batch, about; what one task holds, with its n-grams.
 BATCH_BYTES = 9_000_000
 LOW_BITS = 40

@@ -39,3 +39,12 @@ def test_codes_round_trip():
     for n in (1, 2, len(h)):
         x, y = L.unpack(L.pack(h[:n], c[:n]))
         assert (x == h[:n]).all() and (y == c[:n]).all()
+
+
+def test_production_tells_the_order_of_words(spark, tmp_path):
+    texts = ["a b c", "x b d", "a b c", "a b d"]  # the last has only pairs that others have
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x.doc_id: x.log_score for x in L.op1_lm_score(spark, str(tmp_path)).collect()}
+    want = brute.backoff_scores(texts, 3, L.BACKOFF)
+    assert got == pytest.approx({i: s for i, (_, s) in enumerate(want)})
+    assert got[3] != pytest.approx(brute.backoff_scores(texts, 2, L.BACKOFF)[3][1])
