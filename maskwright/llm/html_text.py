@@ -2,8 +2,8 @@
 
 The standard library's parser streams events; block boundaries cut the page into lines, each with the text it holds,
 the tags passed and the elements it lies in. The ratio of text to tags per line is smoothed with a Gaussian and lines
-above a threshold of its deviation form the content cluster. The region selected is the innermost element that holds
-most of the cluster's text (widened to the article or main element around it), with all its lines that don't belong to
+above a threshold of its deviation form the content cluster. The region selected is the article or main element
+around most of the cluster's text, or else the innermost element that holds all of the cluster, with all its lines that don't belong to
 elements of menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
 """
 
@@ -210,6 +210,8 @@ def main_text(html: str | None) -> str:
             region = around
             break
         around = p.areas[around][0]
+    else:  # no such element: the innermost one that holds all of the cluster
+        region = max(a for a, n in held.items() if n == total)
 
     def within(area: int) -> bool:
         while area > region:

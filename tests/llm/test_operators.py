@@ -289,6 +289,12 @@ def test_main_text(spark):
     assert got[1].n_chars == len(got[1].text) and [got[i].text for i in (2, 3, 4, 5)] == ["", "", "plain < words", "a\n\nb"]
 
 
+def test_parts_beside_the_longest_stay():
+    lead, body = "lead " * 20, "body " * 160
+    page = f"<html><body><div class=post><div class=lead>{lead}</div><div class=text>{body}</div></div></body></html>"
+    assert html_text.main_text(page) == f"{lead.strip()}\n\n{body.strip()}"
+
+
 # the pipeline
 
 
