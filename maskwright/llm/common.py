@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,29 +17,38 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
 
+#: Rows of a few numbers (under 100 bytes each) up to which a counted table is broadcast; beyond, joins shuffle.
+FEW_ROWS = 1_000_000
+
 _own_dir: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session; only where that is
-    unset (tests, a single machine) a temporary folder of this process."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session. Only where that is unset and Spark
+    runs on this machine alone (tests), a temporary folder of this process; on a cluster it must be set."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="maskwright-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
     return f"file://{_own_dir}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _remove_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001 - the session may have ended; the folder's owner clears it then
             return
 
@@ -51,7 +61,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def freed(*tables: DataFrame) -> None:
+    """Deletes *tables*, each from written(), that no DataFrame still to be computed reads. The driver then collects its
+    garbage, by which Spark learns that the shuffle files they were made from can go too."""
+    for t in tables:
+        _remove(t.sparkSession, t._written_path)
+        _written.remove((t.sparkSession, t._written_path))
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A written table of short rows, to be broadcast if it has at most FEW_ROWS."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
+def unused(columns: list[str], *names: str) -> tuple[str, ...]:
+    """*names*, prolonged until none is, but for case, among *columns*."""
+    taken = {c.lower() for c in columns}
+    more = ""
+    while any((n + more).lower() in taken for n in names):
+        more += "_"
+    return tuple(n + more for n in names)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import freed, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,6 +16,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
     roots = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")), "roots")
+    last = roots
     while True:
         near = (
             both.join(roots, F.col("b") == F.col("node"))
@@ -27,6 +28,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # A root is a node itself, whose root may be smaller by now.
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
         moved = written(near.join(up, "root").select("node", F.least("root", "up").alias("root"), (F.least("root", "up") < F.col("was")).alias("moved")), "roots")
-        if not moved.where("moved").take(1):
-            return moved.select("node", "root")
+        freed(last)
+        last = moved
         roots = moved.select("node", "root")
+        if not moved.where("moved").take(1):
+            freed(both)
+            return roots
