@@ -77,8 +77,9 @@ def freed(*tables: DataFrame) -> None:
 
 
 def few(df: DataFrame) -> DataFrame:
-    """A written table of short rows, to be broadcast if it has at most FEW_ROWS."""
-    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+    """A written table of short rows, to be joined by a broadcast if it has at most FEW_ROWS, else by hash tables of its
+    partitions, which spares the other side a sort."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df.hint("shuffle_hash")
 
 
 def unused(columns: list[str], *names: str) -> tuple[str, ...]:

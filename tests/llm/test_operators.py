@@ -1,6 +1,7 @@
 """Operators that have no SQL, against brute force, exact round trips and planted cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import zlib
@@ -96,24 +97,48 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert quality_rules.judged(table(spark, [])).count() == 0
 
 
-def mcd_by_hand(x):
-    """Concentration steps from the plain start with exact order statistics."""
-    floors = np.diag([f**2 for f in quality_rules.FLOORS.values()])
-    m, c = x.mean(0), np.cov(x.T, bias=True) + floors
-    for _ in range(30):
-        d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
-        inner = x[d <= np.sort(d)[math.ceil(quality_rules.COVERAGE * len(x)) - 1]]
-        m, c = inner.mean(0), np.cov(inner.T, bias=True) + floors
-    return m
+def fit_of(x):
+    """Centre and covariance as the operator regularises them."""
+    share = quality_rules._consistency(quality_rules.COVERAGE)
+    return x.mean(0), share * np.cov(x.T, bias=True) + np.diag(list(quality_rules.FLOORS.values()))
 
 
-def test_centre_is_near_the_exact_estimate(spark):
+def distances(x, m, c):
+    return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+
+def mcd_of_all_subsets(x):
+    """The reweighted estimate that starts from the subset of least determinant among all of its size."""
+    h = math.ceil(quality_rules.COVERAGE * len(x))
+    best = min((fit_of(x[list(s)]) for s in itertools.combinations(range(len(x)), h)), key=lambda f: np.linalg.slogdet(f[1])[1])
+    inner = x[distances(x, *best) <= quality_rules.chi2_upper(0.025, quality_rules.P)]
+    floors = np.diag(list(quality_rules.FLOORS.values()))
+    return inner.mean(0), quality_rules._consistency(0.975) * np.cov(inner.T, bias=True) + floors
+
+
+def test_estimate_and_verdicts_are_those_of_all_subsets(spark):
     r = np.random.default_rng(2)
-    x = np.concatenate([r.normal(0, 1, (800, 5)), r.normal(8, 0.5, (120, 5))])
-    v = spark.createDataFrame([("g", *map(float, row)) for row in x], "grp string, " + ", ".join(f"{c} double" for c in quality_rules.X))
+    sets = {g: np.concatenate([r.normal(0, 1, (12, 5)) @ r.normal(0, 0.5, (5, 5)), r.normal(9, 0.5, (3, 5))]) for g in "abcd"}
+    v = spark.createDataFrame([(g, *map(float, row)) for g, x in sets.items() for row in x], "grp string, " + ", ".join(f"{c} double" for c in quality_rules.X))
     params, _ = quality_rules.robust_parameters(v)
-    p = params.first()
-    assert np.allclose([p[f"m_{c}"] for c in quality_rules.X], mcd_by_hand(x), atol=0.12)
+    cut = quality_rules.chi2_upper(quality_rules.TAIL, quality_rules.P)
+    for p in params.collect():
+        m, c = mcd_of_all_subsets(sets[p.grp])
+        u = np.zeros((5, 5))
+        u[np.tril_indices(5)] = p.u
+        assert np.allclose(p.m, m, atol=1e-6) and np.allclose(u.T @ u, np.linalg.inv(c), rtol=1e-4)
+        x = sets[p.grp]
+        assert ((distances(x, p.m, np.linalg.inv(u.T @ u)) > cut) == (distances(x, m, c) > cut)).all() and (distances(x, m, c)[12:] > cut).all()
+
+
+def test_small_groups_and_repeated_ids_are_judged(spark):
+    rows = [(i, t, la, "s0", 0) for i, (_, t, la, _, _) in enumerate(prose(1))]
+    marked = " ".join(f"{w}$$$" for w in rows[0][1].split())
+    rows += [(5000 + i, t if i % 2 else marked, la, "rare", 0) for i, (_, t, la, *_) in enumerate(prose(2, 8))]
+    rows += [(6000, prose(3, 1)[0][1], "xx", None, 0), (6001, marked, "xx", None, 0), (7, marked, "en", "s0", 0)]
+    kept = quality_rules.keep_good(table(spark, [(*r, 1, 2) for r in rows], ", row int, own int")).collect()
+    want = [r for r in rows if "$" not in r[1]]
+    assert sorted((x.doc_id, x.text) for x in kept) == sorted((r[0], r[1]) for r in want)
 
 
 # mixing
