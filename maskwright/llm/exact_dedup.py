@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import few, freed, table, unused, written
 
 COUNTERS = 1024
 
@@ -97,13 +97,11 @@ def exact_groups(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """The rows of *docs* (all its columns) whose text is kept; see exact_groups for the rule.
 
-    Only the (doc_id, digest) pairs of dropped rows are joined back; Spark broadcasts them where they are small, and
-    otherwise builds hash tables of them partition by partition, so texts are shuffled once at most and never sorted.
+    Only the (doc_id, digest) pairs of dropped rows are joined back: by a broadcast while they are few, and otherwise by
+    hash tables of their partitions, so texts are shuffled once at most and never sorted.
     """
     groups = written(exact_groups(docs, counters), "groups")
-    mark = "__digest"
-    while mark in docs.columns:
-        mark += "_"
+    mark, id_, digest, nth = unused(docs.columns, "__digest", "__id", "__d", "__nth")
     at = docs.columns.index("text")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,15 +109,17 @@ def drop_exact_copies(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, _hashed(b.column(at))], [*b.schema.names, mark])
 
     full = docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(mark, T.BinaryType())]))
-    pair = (F.col("doc_id").alias("__id"), F.col("digest").alias("__d"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__d"))
+    pair = (F.col("doc_id").alias(id_), F.col("digest").alias(digest))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(mark) == F.col(digest))
     lost, tie = groups.where(~F.col("kept")), F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    left = full.join(lost.where(~tie).select(*pair).hint("shuffle_hash"), same, "left_anti")
-    tied = lost.where(tie).select(*pair).distinct()
+    gone = written(lost.where(~tie).select(*pair).distinct(), "gone")
+    tied = written(lost.where(tie).select(*pair).distinct(), "tied")
+    freed(groups)
+    left = full.join(few(gone), same, "left_anti")
     if tied.take(1):  # rows that repeat both doc_id and text: one of each stays
         once = Window.partitionBy("doc_id", mark).orderBy(F.lit(1))
-        one = left.join(tied.hint("shuffle_hash"), same, "left_semi").withColumn("__nth", F.row_number().over(once))
-        left = left.join(tied.hint("shuffle_hash"), same, "left_anti").unionByName(one.where(F.col("__nth") == 1).drop("__nth"))
+        one = left.join(few(tied), same, "left_semi").withColumn(nth, F.row_number().over(once))
+        left = left.join(few(tied), same, "left_anti").unionByName(one.where(F.col(nth) == 1).drop(nth))
     return left.drop(mark)
 
 

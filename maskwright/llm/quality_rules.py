@@ -90,7 +90,7 @@ def _consistency(share: float) -> float:
 
 def text_statistics(docs: DataFrame, *more: Column) -> DataFrame:
     """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed of each row, and
-    *more* columns, which none of these names.
+    *more* columns, named row or mark.
 
     Null texts count as empty, with no words. Windows of three words are told apart by 64-bit hashes.
     """
