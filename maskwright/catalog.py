@@ -1,5 +1,6 @@
-"""The named queries over the engine's operators, with DuckDB SQL for each that SQL can express."""
+"""All queries that stand by themselves, and their SQL."""
 
-from .plans.queries import ORACLE, QUERIES
+from .plans import planted, queries
 
-__all__ = ["ORACLE", "QUERIES"]
+QUERIES = queries.QUERIES | planted.QUERIES
+ORACLE = queries.ORACLE | planted.ORACLE

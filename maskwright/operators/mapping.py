@@ -63,10 +63,11 @@ def allocate(values: DataFrame, secret: Secret, existing: DataFrame | None = Non
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Both mappings; of rows with the same key those of *old* stay."""
+    """Both mappings; of rows with the same key those of *old* stay, and of two in *new* that with the least original."""
     key = ["mode", "scope", "token", "entity_type"]
     same = [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key]
-    other = new.dropDuplicates(key).alias("n").join(old.alias("o"), same, "left_anti")
+    new = new.groupBy(*key).agg(F.min("original").alias("original"))
+    other = new.alias("n").join(old.alias("o"), same, "left_anti")
     return old.unionByName(other.select(*(F.col(f"n.{c}") for c in old.columns)))
 
 

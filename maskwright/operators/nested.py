@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import spans as S
-from ..functions.detectors import Detector, build_detectors
+from ..functions.detectors import Detector, build_detectors, nfc
 from ..functions.keys import Secret
 from .mapping import allocate, hmac_hex, with_pads
-from .pseudonymize import FEW_ENTRIES, Result, _tokens, _with_map, find_spans
+from .pseudonymize import Result, _composes, _tokens, find_spans, with_map
 
 
 def map_leaves(col: Column, kind: T.DataType, leaf: Callable[[Column], Column]) -> Column:
@@ -64,24 +64,30 @@ def pseudonymize_nested(df: DataFrame, secret: Secret, columns: list[str], detec
     spans_of = lambda t: F.get(find_spans(F.array(t), detectors), F.lit(0))
     kinds = {c: df.schema[c].dataType for c in columns}
     texts = F.concat(*(leaves(F.col(c), k) for c, k in kinds.items()))
-    found = df.select(F.col(order).alias("o"), F.posexplode(texts).alias("i", "t")).select("o", "i", F.explode(spans_of(F.col("t"))).alias("s"))
-    table = allocate(found.select(F.col("s.text").alias("original"), "s.entity_type", F.struct("o", "i", "s.start").alias("seen")), secret, mapping).persist()
+    d = df.withColumn("__raw", F.array_distinct(F.flatten(F.transform(texts, lambda t: F.transform(spans_of(t), lambda s: s["text"])))))
+    value = lambda s: s["text"]
+    if _composes(detectors):  # as in plain texts, a value's token is that of its composed form
+        d = d.withColumn("__nfc", F.map_from_arrays("__raw", F.get(nfc(F.array("__raw")), F.lit(0))))
+        value = lambda s: F.try_element_at(F.col("__nfc"), s["text"])
+    found = d.select("*", F.posexplode(texts).alias("__i", "__t")).withColumn("__s", F.explode(spans_of(F.col("__t"))))
+    found = found.select(value(F.col("__s")).alias("original"), F.col("__s.entity_type").alias("entity_type"), F.struct(F.col(order).alias("o"), F.col("__i").alias("i"), F.col("__s.start").alias("start")).alias("seen"))
+    table = allocate(found, secret, mapping).persist()
     odd = table.where((F.col("mode") == "hmac") & F.contains("token", F.lit("-"))).select("original", "token")
-    d = _with_map(with_pads(df, secret), odd)
+    used = F.map_values("__nfc") if _composes(detectors) else F.col("__raw")
+    d = with_map(with_pads(d, secret), used, odd, "__odd")
 
     def leaf(t: Column) -> Column:
-        token = lambda s: F.coalesce(F.try_element_at(F.col("__odd"), s["text"]), F.left(hmac_hex(s["text"], F.col("__ipad"), F.col("__opad")), F.lit(8)))
-        return F.when(t.isNotNull(), S.let(spans_of(t), lambda s: S.substitute(t, s, F.transform(s, lambda x: S.format_token(x["entity_type"], token(x))))))
+        token = lambda v: F.coalesce(F.try_element_at(F.col("__odd"), v), F.left(hmac_hex(v, F.col("__ipad"), F.col("__opad")), F.lit(8)))
+        return F.when(t.isNotNull(), S.let(spans_of(t), lambda s: S.substitute(t, s, F.transform(s, lambda x: S.format_token(x["entity_type"], token(value(x)))))))
 
     return Result(d.select(*(map_leaves(F.col(c), kinds[c], leaf).alias(c) if c in kinds else F.col(c) for c in df.columns)), table)
 
 
 def restore_nested(df: DataFrame, mapping: DataFrame, columns: list[str]) -> DataFrame:
-    """Originals for the hashed tokens in all string leaves of *columns*; the mapping's size is checked."""
+    """Originals for the hashed tokens in all string leaves of *columns*."""
     pairs = mapping.where("mode = 'hmac'").select("token", "original")
-    if pairs.count() > FEW_ENTRIES:
-        raise ValueError(f"nested columns are restored by mappings of at most {FEW_ENTRIES} entries")
-    d = df.join(F.broadcast(pairs.agg(F.map_from_entries(F.collect_list(F.struct("token", "original"))).alias("__of"))))  # one row
+    texts = F.concat(*(leaves(F.col(c), df.schema[c].dataType) for c in columns))
+    d = with_map(df, F.flatten(F.transform(texts, lambda t: F.transform(_tokens(t, F.lit("")), lambda m: m["token"]))), pairs, "__of")
 
     def leaf(t: Column) -> Column:
         back = F.transform(_tokens(t, F.lit("")), lambda m: F.coalesce(F.try_element_at(F.col("__of"), m["token"]), m["text"]))

@@ -1,7 +1,7 @@
 """Pseudonymisation and restoration of documents.
 
 One projection finds, filters and resolves the spans of every document; texts never pass a shuffle. Only distinct
-values are shuffled, to allocate tokens; the few that collide come back as a broadcast map of checked size.
+values are shuffled, to allocate tokens; those that collide come back as a broadcast map while they are few.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def pseudonymize(
     d = d.withColumn("__values", nfc(values) if _composes(detectors) else values)
     seen = F.zip_with("__spans", "__values", lambda row, v: F.zip_with(row, v, lambda s, o: F.struct(o.alias("original"), s["entity_type"].alias("entity_type"), s["start"].alias("start"))))
     if sequential:
-        tokens, table = _sequential(d, seen, mapping, order)
+        d, tokens, table = _sequential(d, seen, mapping, order)
         d = d.withColumn("__tokens", tokens)
     else:
         flat = d.select(F.col(order).alias("__o"), F.posexplode(seen).alias("c", "row")).select("__o", "c", F.explode("row").alias("x"))
@@ -80,7 +80,7 @@ def pseudonymize(
         # Cached, so that texts are searched once for values and once for replacing; a lost part is computed again.
         table = allocate(found, secret, mapping, digits).persist()
         odd = table.where((F.col("mode") == "hmac") & F.contains("token", F.lit("-"))).select("original", "token")
-        d = _with_map(with_pads(d, secret), odd)
+        d = with_map(with_pads(d, secret), F.flatten("__values"), odd, "__odd")
         plain = lambda v: F.left(hmac_hex(v, F.col("__ipad"), F.col("__opad")), F.lit(digits))
         d = d.withColumn("__tokens", F.transform("__values", lambda row: F.transform(row, lambda v: F.coalesce(F.try_element_at(F.col("__odd"), v), plain(v)))))
     names = F.zip_with("__spans", "__tokens", lambda row, t: F.zip_with(row, t, lambda s, x: S.format_token(s["entity_type"], x)))
@@ -93,30 +93,41 @@ def pseudonymize(
     return Result(formats.reassembled(parts, text, "__parts", "__format"), table)
 
 
-def _with_map(d: DataFrame, odd: DataFrame) -> DataFrame:
-    """Adds __odd, a map of the given (original, token) rows, as one broadcast row; how many there may be is checked."""
-    n = odd.count()
-    if n > FEW_ENTRIES:
-        raise ValueError(f"{n} values collide; use more digits")
-    entries = odd.agg(F.map_from_entries(F.collect_list(F.struct("original", "token"))).alias("__odd"))
-    return d.join(F.broadcast(entries))  # one row
-
-
-def _sequential(d: DataFrame, seen: Column, mapping: DataFrame | None, order: str) -> tuple[Column, DataFrame]:
-    """Numbers per document and type by first place, after the mapping's last; values that it holds keep theirs."""
-    last, known = {}, {}
-    if mapping is not None:
-        rows = mapping.where("mode = 'seq'").limit(FEW_ENTRIES + 1).collect()
-        if len(rows) > FEW_ENTRIES:
-            raise ValueError("sequential numbering continues small mappings only")
-        for r in rows:
-            own = f"{r.scope}\x00{r.entity_type}"
-            last[own] = str(max(int(last.get(own, 0)), int(r.token)))
-            known[f"{own}\x00{r.original}"] = r.token
+def with_map(d: DataFrame, keys: Column, pairs: DataFrame, name: str) -> DataFrame:
+    """Adds *name*, a map that holds at least those of the rows of *pairs* (key, value) whose keys are in the array *keys*.
+
+    Up to FEW_ENTRIES pairs are one broadcast map. Beyond, the keys that occur are joined to the pairs and brought back
+    per row.
+    """
+    key, value = pairs.columns
+    entries = F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name)
+    if pairs.count() <= FEW_ENTRIES:
+        return d.join(F.broadcast(pairs.agg(entries)))  # one row
+    d = d.withColumn("__row", F.monotonically_increasing_id())
+    used = d.select("__row", F.explode(F.array_distinct(keys)).alias(key))
+    of = used.join(pairs, key).groupBy("__row").agg(entries)
+    return d.join(of, "__row", "left").withColumn(name, F.coalesce(name, F.create_map().cast("map<string,string>"))).drop("__row")
+
+
+def _sequential(d: DataFrame, seen: Column, mapping: DataFrame | None, order: str) -> tuple[DataFrame, Column, DataFrame]:
+    """Numbers per document and type by first place, after the mapping's last; values that it holds keep theirs. The
+    mapping's entries come to their document by a join, so that no plan shows an original."""
     scope = F.col(order).cast("string")
+    none = F.create_map().cast("map<string,string>")
+    if mapping is None:
+        d = d.withColumn("__known", none).withColumn("__last", none)
+    else:
+        old = mapping.where("mode = 'seq'")
+        own = F.concat("scope", F.lit("\x00"), "entity_type")
+        first = old.groupBy("scope", own.alias("t"), F.concat(own, F.lit("\x00"), "original").alias("k")).agg(F.min(F.col("token").cast("int")).cast("string").alias("v"))
+        known = first.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("__known"))
+        top = old.groupBy("scope", own.alias("t")).agg(F.max(F.col("token").cast("int")).cast("string").alias("n"))
+        last = top.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("__last"))
+        per = known.join(last, "scope").withColumnRenamed("scope", "__scope")
+        d = d.join(F.broadcast(per) if old.count() <= FEW_ENTRIES else per, scope.eqNullSafe(F.col("__scope")), "left").drop("__scope")
+        d = d.withColumn("__known", F.coalesce("__known", none)).withColumn("__last", F.coalesce("__last", none))
+    old, base = F.col("__known"), F.col("__last")
     key = lambda t: F.concat(scope, F.lit("\x00"), t)
-    as_map = lambda m: F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) if m else F.create_map().cast("map<string,string>")
-    old, base = as_map(known), as_map(last)
     flat = F.flatten(F.transform(seen, lambda row: F.transform(row, lambda x: F.struct(key(x["entity_type"]).alias("t"), F.concat(key(x["entity_type"]), F.lit("\x00"), x["original"]).alias("k"), x["original"].alias("o"), x["entity_type"].alias("e")))))
     firsts = F.array_distinct(F.filter(flat, lambda x: F.try_element_at(old, x["k"]).isNull()))
     number = lambda x, i: (F.size(F.filter(F.slice(firsts, 1, i + 1), lambda y: y["t"] == x["t"])) + F.coalesce(F.try_element_at(base, x["t"]).cast("int"), F.lit(0))).cast("string")
@@ -124,7 +135,7 @@ def _sequential(d: DataFrame, seen: Column, mapping: DataFrame | None, order: st
     tokens = F.transform(seen, lambda row: F.transform(row, lambda x: F.element_at(given, F.concat(key(x["entity_type"]), F.lit("\x00"), x["original"]))))
     rows = F.transform(firsts, lambda x, i: F.struct(F.lit("seq").alias("mode"), scope.alias("scope"), number(x, i).alias("token"), x["o"].alias("original"), x["e"].alias("entity_type")))
     new = d.select(F.explode(rows).alias("r")).select("r.*")
-    return tokens, new if mapping is None else mapping.unionByName(new)
+    return d, tokens, new if mapping is None else mapping.unionByName(new)
 
 
 def restore(docs: DataFrame, mapping: DataFrame, *, text: str = "text", order: str = "doc_id") -> DataFrame:

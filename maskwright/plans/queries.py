@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -153,8 +154,11 @@ def token_format(spark, sf):
 
 
 def html_text_pii(spark, sf):
-    text = F.udf(formats.html_to_text, "string", useArrow=True)("html")
-    d = _t(spark, sf, "pages").select("page_id", text.alias("text"))
+    def texts(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else formats.html_to_text(x) for x in b.column(1).to_pylist()], pa.string())], ["page_id", "text"])
+
+    d = _t(spark, sf, "pages").select("page_id", "html").mapInArrow(texts, "page_id long, text string")
     return d.select("page_id", F.size(D.email_spans(F.col("text"))).alias("n_emails"))
 
 
@@ -168,23 +172,6 @@ def format_dispatch(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", formats.format_of(path).alias("format"))
 
 
-def _formatted(spark, sf, head, tail, kind):
-    d = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.concat(F.lit(head), F.col("s_suppkey").cast("string"), F.lit(tail)).alias("text"))
-    return pseudonymize(d, DEMO, format=kind).documents.select("doc_id", "text", F.size("replaced").alias("n_replaced"))
-
-
-def mail_documents(spark, sf):
-    return _formatted(spark, sf, "From: a@b.de\nSubject: x\n\nHallo,\n> user", "@firma.de\nViele Grüße\nEva eva@firma.de\n", "eml")
-
-
-def markdown_documents(spark, sf):
-    return _formatted(spark, sf, "# a\n`x@firma.de` user", "@firma.de\n```\nc@firma.de\n```\n", "md")
-
-
-def xml_documents(spark, sf):
-    return _formatted(spark, sf, "<a b='x@firma.de'>user", "@firma.de<!-- y@firma.de --><c/>z@firma.de</a>", "xml")
-
-
 def nested_customers(spark, sf):
     d = _t(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.struct(F.array(F.concat(F.lit("u"), F.col("c_custkey").cast("string"), F.lit("@firma.de"))).alias("mails"), F.col("c_acctbal").alias("n")).alias("x"))
     return pseudonymize_nested(d, DEMO, ["x"], _emails()).documents.select("doc_id", F.col("x.mails")[0].alias("mail"), F.col("x.n").alias("n"))
@@ -216,7 +203,7 @@ QUERIES = {
     for f in (
         documents_pseudonymized, documents_pseudonymized_all, email_spans, email_counts_by_lang, email_tokens, handle_spans, term_spans, many_terms, phone_spans, second_pass,
         own_token_scan, resolve_overlaps, alloc_collisions, sequential_tokens, restore_roundtrip, mapping_merge, tokens_by_type, inspect_sorted, replacement_report, full_hmac,
-        token_format, html_text_pii, rtf_strip, format_dispatch, mail_documents, markdown_documents, xml_documents, nested_customers, json_leaf_walk, sidecar_roundtrip,
+        token_format, html_text_pii, rtf_strip, format_dispatch, nested_customers, json_leaf_walk, sidecar_roundtrip,
         stream_pseudonymized,
     )
 }
@@ -245,6 +232,19 @@ _MASKED = (
 _DISPATCH = "CASE p_partkey % 8 WHEN 0 THEN 'eml' WHEN 1 THEN 'md' WHEN 2 THEN 'md' WHEN 3 THEN 'xml' WHEN 4 THEN 'xml' WHEN 7 THEN 'msg' ELSE 'text' END"
 
 ORACLE = {
+    "json_leaf_walk": """SELECT event_id, '{"k":"' || json_extract_string(props, '$.k') || '"}' AS props FROM events""",
+    "html_text_pii": (
+        "WITH d AS (SELECT page_id, replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&#64;', '@') AS text FROM pages) "
+        f"SELECT page_id, CAST(len({_LIST}) AS INTEGER) AS n_emails FROM d"
+    ),
+    "resolve_overlaps": (
+        "WITH RECURSIVE s AS (SELECT l_orderkey, l_partkey % 40 AS a, l_partkey % 40 + 1 + l_suppkey % 7 AS b, l_linenumber AS d FROM lineitem), "
+        "o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY a - b, -d, a) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM s), "
+        "r AS (SELECT l_orderkey, k, n, [{'a': a, 'b': b}] AS kept FROM o WHERE k = 1 UNION ALL "
+        "SELECT o.l_orderkey, o.k, o.n, CASE WHEN len(list_filter(r.kept, lambda x: x.a < o.b AND o.a < x.b)) > 0 THEN r.kept ELSE list_append(r.kept, {'a': o.a, 'b': o.b}) END "
+        "FROM r JOIN o ON o.l_orderkey = r.l_orderkey AND o.k = r.k + 1) "
+        "SELECT l_orderkey, CAST(n AS INTEGER) AS n_spans, CAST(len(kept) AS INTEGER) AS n_kept, CAST(list_sum(list_transform(kept, lambda x: x.b - x.a)) AS INTEGER) AS covered FROM r WHERE k = n"
+    ),
     "documents_pseudonymized": _MASKED,
     "second_pass": _MASKED,
     "stream_pseudonymized": _MASKED,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import MAPPING_LABEL, Secret, derive
 from ..operators.mapping import SCHEMA, MappingError
 
-MARK, VERSION = bytes.fromhex("4b55434b"), 2
+MARK, VERSION = b"MWMP", 2
 MOST_ENTRIES = 1_000_000
 SUFFIX = ".mapping.enc"
 
