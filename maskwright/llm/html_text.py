@@ -1,10 +1,13 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams events; block boundaries cut the page into lines, each with the text it holds,
-the tags passed and the elements it lies in. The ratio of text to tags per line is smoothed with a Gaussian and lines
-above a threshold of its deviation form the content cluster. The region selected is the article or main element
-around most of the cluster's text, or else the innermost element that holds all of the cluster, with all its lines that don't belong to
-elements of menus, headers, footers, sidebars, notices, adverts, forms or reader comments.
+the tags passed, the elements it lies in, and how many of these are by their tag, class, id or role of what isn't an
+article: menus, headers, footers, sidebars, notices, adverts, forms, reader comments. The ratio of a line's text to its
+tags, linked text left out, is multiplied by PENALTY for each such element; it is smoothed with a Gaussian along lines
+that lie equally deep in them, and lines above a threshold of its deviation form the content cluster. As ratios are
+compared with each other, a wrapper around all of a page by any such name changes nothing. The region selected is the
+article or main element around most of the cluster's text, or else the innermost element that holds all of the
+cluster; of its lines, those of the cluster stay and those that lie no deeper in such elements than the cluster does.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 SIGMA, THRESHOLD, MAJORITY = 1.0, 0.5, 0.75
+#: What an element of another kind than the article leaves of the ratios in it.
+PENALTY = 0.001
 CHUNK = 1 << 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -29,9 +34,9 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul video audio".split()
 )
 AREAS = frozenset("article body div main section table td tr tbody center html blockquote ul ol dl".split())
-NEVER = frozenset(
-    "head title script style noscript template iframe object svg math canvas nav footer aside form button select option textarea input menu dialog audio video map datalist".split()
-)
+#: What a page doesn't show as text, or shows for input only.
+NEVER = frozenset("head title script style noscript template iframe object svg math canvas button select option textarea input audio video map datalist".split())
+APART = frozenset("nav footer aside form menu dialog".split())
 #: Words of class names and ids, and roles, of what isn't the article.
 SIGNS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion promoted sidebar sidebars side rail menu menus nav navbar "
@@ -48,28 +53,28 @@ BOUNDS = {"p": frozenset("article aside blockquote body button div dd details fi
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: [text parts, tags, linked characters, path of area ids, heading?]."""
+    """Lines of a page: (text, tags, linked characters, area, heading?, depth in elements of other kinds)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = [("", False, 0)]  # name, outside the article, id of the area
+        self.stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # name, never text, id of the area, depth
         self.areas: list[tuple[int, str]] = [(-1, "")]  # parent area, name
         self.inside = 0  # open article and main elements
         self.links = 0
-        self.parts: list[str] = []
+        self.parts: list[tuple[int, bool, str]] = []  # depth, linked, text
         self.tags = 1
-        self.linked = 0
         self.heading = False
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
 
     def cut(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
+        # An inline element of another kind within a paragraph makes a line of its own.
+        for depth in sorted({d for d, _, x in self.parts if x.strip()}):
+            own = [(linked, x) for d, linked, x in self.parts if d == depth]
+            text = " ".join("".join(x for _, x in own).split())
             if text:
-                self.lines.append((text, self.tags, self.linked, self.stack[-1][2], self.heading))
+                self.lines.append((text, self.tags, sum(len(x) for linked, x in own if linked), self.stack[-1][2], self.heading, depth))
                 self.tags = 1
-                self.linked = 0
-            self.parts = []
+        self.parts = []
         self.heading = False
 
     def pop(self, depth: int) -> None:
@@ -93,7 +98,7 @@ class _Lines(HTMLParser):
                 if depth:
                     self.pop(depth)
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((self.stack[-1][3], False, " "))
         if tag in VOID:
             return
         if tag == "a":
@@ -101,15 +106,15 @@ class _Lines(HTMLParser):
             if depth:
                 self.pop(depth)
             self.links += 1
-        _, out, area = self.stack[-1]
+        _, never, area, depth = self.stack[-1]
         if tag in AREAS:
             self.areas.append((area, tag))
             area = len(self.areas) - 1
-        if not out:
-            out = tag in NEVER or tag == "header" and not self.inside or bool(attrs) and tag not in ("html", "body", "article", "main") and self._sign(tag, attrs)
+        named = bool(attrs) and tag not in ("html", "body", "article", "main") and self._sign(tag, attrs)
+        depth += tag in APART or tag == "header" and not self.inside or named
         if tag in ("article", "main"):
             self.inside += 1
-        self.stack.append((tag, out, area))
+        self.stack.append((tag, never or tag in NEVER, area, depth))
         if block and tag in ("h1", "h2"):
             self.heading = tag == "h1"
 
@@ -158,24 +163,27 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.stack[-1][1]:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+            self.parts.append((self.stack[-1][3], bool(self.links), data))
 
 
 _RADIUS = max(1, math.ceil(3 * SIGMA))
 _KERNEL = [math.exp(-(k * k) / (2 * SIGMA * SIGMA)) for k in range(-_RADIUS, _RADIUS + 1)]
 
 
-def content_cluster(lines: list[tuple[str, int, int, int, bool]]) -> list[bool]:
+def content_cluster(lines: list[tuple[str, int, int, int, bool, int]]) -> list[bool]:
     """Which lines' smoothed text-to-tag ratios exceed THRESHOLD deviations; linked text counts for nothing."""
-    ratio = [max(0, len(text) - linked) / tags for text, tags, linked, _, _ in lines]
+    ratio = [max(0, len(text) - linked) / tags * PENALTY**depth for text, tags, linked, _, _, depth in lines]
     n = len(ratio)
     smooth = []
     for i in range(n):
-        a, b = max(0, i - _RADIUS), min(n, i + _RADIUS + 1)
-        w = _KERNEL[a - i + _RADIUS : b - i + _RADIUS]
-        smooth.append(sum(x * y for x, y in zip(w, ratio[a:b])) / sum(w))
+        total = weight = 0.0
+        for side in (range(i, max(-1, i - _RADIUS - 1), -1), range(i + 1, min(n, i + _RADIUS + 1))):
+            for k in side:
+                if lines[k][5] != lines[i][5]:
+                    break
+                total += _KERNEL[k - i + _RADIUS] * ratio[k]
+                weight += _KERNEL[k - i + _RADIUS]
+        smooth.append(total / weight)
     mean = sum(smooth) / n
     deviation = math.sqrt(sum((x - mean) ** 2 for x in smooth) / n)
     return [x >= THRESHOLD * deviation and x > 0 for x in smooth]
@@ -194,9 +202,10 @@ def main_text(html: str | None) -> str:
         return ""
     chosen = content_cluster(lines)
     if not any(chosen):
-        chosen = [True] * len(lines)
+        chosen = [x[5] == min(y[5] for y in lines) for x in lines]
+    depth = min(x[5] for x, use in zip(lines, chosen) if use)
     held: dict[int, int] = {}
-    for (text, _, _, area, _), use in zip(lines, chosen):
+    for (text, _, _, area, _, _), use in zip(lines, chosen):
         if use:
             while area >= 0:
                 held[area] = held.get(area, 0) + len(text)
@@ -218,9 +227,9 @@ def main_text(html: str | None) -> str:
             area = p.areas[area][0]
         return area == region
 
-    out = [(i, text) for i, (text, _, _, area, _) in enumerate(lines) if within(area)]
+    out = [(i, x[0]) for i, x in enumerate(lines) if within(x[3]) and (chosen[i] or x[5] <= depth)]
     first = out[0][0] if out else 0
-    title = next((i for i in range(first - 1, -1, -1) if lines[i][4]), None)
+    title = next((i for i in range(first - 1, -1, -1) if lines[i][4] and lines[i][5] <= depth), None)
     if title is not None and not any(chosen[title + 1 : first]) and not any(lines[i][4] for i, _ in out):
         out.insert(0, (title, lines[title][0]))
     return "\n\n".join(text for _, text in out)

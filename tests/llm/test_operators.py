@@ -319,6 +319,37 @@ def test_parts_beside_the_longest_stay():
     assert html_text.main_text(page) == f"{lead.strip()}\n\n{body.strip()}"
 
 
+def cluster_by_formula(lines):
+    """Every pair of lines, by the definition."""
+    ratio = [max(0, len(t) - linked) / tags * html_text.PENALTY**depth for t, tags, linked, _, _, depth in lines]
+    weight = lambda i, k: math.exp(-((i - k) ** 2) / (2 * html_text.SIGMA**2)) if abs(i - k) <= 3 * html_text.SIGMA and len({x[5] for x in lines[min(i, k) : max(i, k) + 1]}) == 1 else 0.0
+    smooth = [sum(weight(i, k) * r for k, r in enumerate(ratio)) / sum(weight(i, k) for k in range(len(ratio))) for i in range(len(ratio))]
+    return [x > 0 and x >= html_text.THRESHOLD * np.std(smooth) for x in smooth]
+
+
+def test_clusters_equal_the_formula():
+    r = random.Random(9)
+    for _ in range(200):
+        lines = [("x" * n, r.randint(1, 9), r.choice((0, n, n // 2)), 0, False, r.choice((0, 0, 0, 1, 2))) for n in (r.randint(1, 200) for _ in range(r.randint(1, 30)))]
+        assert html_text.content_cluster(lines) == cluster_by_formula(lines)
+
+
+def test_a_wrapper_by_any_name_changes_nothing():
+    inner = "<nav><a href=x>Menu</a></nav><div>" + "<p>Some words of the article, many of them.</p>" * 6 + "</div><div class=share>Share this</div>"
+    want = html_text.main_text(f"<body>{inner}</body>")
+    assert want == "\n\n".join(["Some words of the article, many of them."] * 6)
+    for a, b in (("<form>", "</form>"), ("<div class=content-sidebar-wrap>", "</div>"), ("<div class=post-with-comments><main>", "</main></div>")):
+        assert html_text.main_text(f"<body>{a}{inner}{b}</body>") == want
+
+
+def test_the_cluster_decides():
+    """Without tags or names to go by, what lies apart from the long paragraphs goes."""
+    body = "<div>" + "<p>A paragraph of the article with a good many words in it, one after another.</p>" * 5 + "</div>"
+    apart = lambda at: "".join(f"<div><i>{at}</i><b>{k}</b></div>" for k in range(8))
+    got = html_text.main_text(f"<html><body>{apart('x')}{body}{apart('y')}</body></html>").split("\n\n")
+    assert sum(len(x) > 9 for x in got) == 5 and not {"x0", "x1", "x2", "y5", "y6", "y7"} & set(got)
+
+
 # the pipeline
 
 
