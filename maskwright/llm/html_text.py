@@ -7,7 +7,8 @@ tags, linked text left out, is multiplied by PENALTY for each such element; it i
 that lie equally deep in them, and lines above a threshold of its deviation form the content cluster. As ratios are
 compared with each other, a wrapper around all of a page by any such name changes nothing. The region selected is the
 article or main element around most of the cluster's text, or else the innermost element that holds all of the
-cluster; of its lines, those of the cluster stay and those that lie no deeper in such elements than the cluster does.
+cluster, from the cluster's first line to its last; of these lines, those of the cluster stay and those that lie no
+deeper in elements of other kinds than the cluster does.
 """
 
 from __future__ import annotations
@@ -213,21 +214,25 @@ def main_text(html: str | None) -> str:
     total = held[0]
     # Areas are numbered as they open, so the innermost one that holds most has the largest number.
     region = max(a for a, n in held.items() if n >= MAJORITY * total)
+    chosen_from = 0
     around = region
     while around >= 0:
         if p.areas[around][1] in ("article", "main"):
             region = around
             break
         around = p.areas[around][0]
-    else:  # no such element: the innermost one that holds all of the cluster
+    else:  # no such element: the innermost one that holds all of the cluster, from its first line to its last
         region = max(a for a, n in held.items() if n == total)
+        use = [i for i, x in enumerate(chosen) if x]
+        lines, chosen = lines[: use[-1] + 1], chosen[: use[-1] + 1]
+        chosen_from = use[0]
 
     def within(area: int) -> bool:
         while area > region:
             area = p.areas[area][0]
         return area == region
 
-    out = [(i, x[0]) for i, x in enumerate(lines) if within(x[3]) and (chosen[i] or x[5] <= depth)]
+    out = [(i, x[0]) for i, x in enumerate(lines) if i >= chosen_from and within(x[3]) and (chosen[i] or x[5] <= depth)]
     first = out[0][0] if out else 0
     title = next((i for i in range(first - 1, -1, -1) if lines[i][4] and lines[i][5] <= depth), None)
     if title is not None and not any(chosen[title + 1 : first]) and not any(lines[i][4] for i, _ in out):
