@@ -53,14 +53,20 @@ def _remove_written() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """*df* as a Parquet table in the shared folder: cuts lineage, and outlives any executor."""
-    spark = df.sparkSession
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed when this process ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_remove_written)
     _written.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """*df* as a Parquet table in the shared folder: cuts lineage, and outlives any executor."""
+    spark = df.sparkSession
+    path = own_folder(spark, name)
+    df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

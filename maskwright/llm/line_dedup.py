@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, table, words, written
+from .common import BLANKS, ascii_lower, few, table, unused, words, written
 
 LEAST_WORDS = 5
 #: Edits at most, in production.
@@ -183,10 +183,11 @@ def _verified(docs: DataFrame, proposed: DataFrame, bound: int) -> DataFrame:
 def dedup_lines(docs: DataFrame, bound: int = BOUND) -> DataFrame:
     """The rows of *docs*, all columns, without the lines that go; other lines, blank ones too, stay as they are. A
     null text stays null; a document all of whose lines go has an empty one."""
-    gone = near_lines(docs, bound).groupBy("doc_id").agg(F.collect_set("line").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    d = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")
-    return d.select(*(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    id_, mark = unused(docs.columns, "__id", "__gone")
+    gone = few(written(near_lines(docs, bound).groupBy("doc_id").agg(F.collect_set("line").alias(mark)).withColumnRenamed("doc_id", id_), "gone"))
+    d = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)), "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(mark, i)), "\n")
+    return d.select(*(F.when(F.col(mark).isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

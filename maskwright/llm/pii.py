@@ -301,11 +301,12 @@ def training_graphs(docs: DataFrame, limit: int = TRAINING_DOCUMENTS) -> list[Gr
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # each task hands on no more than `limit` of its own
         held: list[tuple[bytes, bytes]] = []
+        most = None  # above it no hash is among the smallest
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if text and _MARK.search(text):
                     h = hashlib.blake2b(f"{doc_id}\0{text}".encode(), digest_size=16).digest()
-                    if len(held) < limit or h < held[-1][0]:
+                    if most is None or h < most:
                         g = graph(text, base_spans(text))
                         if len(g.spans) <= TRAINING_NODES:
                             g.spans = []
@@ -313,6 +314,7 @@ def training_graphs(docs: DataFrame, limit: int = TRAINING_DOCUMENTS) -> list[Gr
                             held.append((h, pickle.dumps(g)))
                 if len(held) > 2 * limit:
                     held = sorted(held)[:limit]
+                    most = held[-1][0]
         held = sorted(held)[:limit]
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in held], pa.binary()), pa.array([g for _, g in held], pa.binary())], ["h", "g"])
 

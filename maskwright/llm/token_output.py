@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import struct
+import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import own_folder, table
 from .packing import bucket_packer, with_buckets
 from .tokens import WINDOW, pieces
 
@@ -53,57 +54,78 @@ def sequences(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = No
     return with_buckets(p, buckets).groupBy("bucket").applyInArrow(build, SEQUENCE)
 
 
-MAGIC = b"MWPK"
-MANIFEST = "path string, n_sequences long, n_tokens long, n_segments long, bytes long"
+MAGIC, VERSION = b"MWPK", 2
+INDEX = "path string, row long, sequence_id long, n_tokens long, n_segments long, ids_crc32 long"
 
 
-def write_shards(seqs: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
-    """Writes each partition of *seqs* as a binary shard into *folder*, which all executors share; path, n_sequences,
-    n_tokens, n_segments, bytes of each as a table.
+def _file_system(folder: str):
+    """The file system of a folder's URI and its path there; without a scheme the local one."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
 
-    A shard: MAGIC, version, window, rows, segments (four unsigned 32-bit numbers); rows * window 16-bit ids; rows + 1
-    offsets into the segments (64-bit); per segment its end in the row (32-bit) and the position, 0, it restarts from
-    is implied by it. A task writes under a name of its own attempt and renames at the end, so a lost executor leaves
-    no half shard. Empty partitions write none.
+
+def write_shards(seqs: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
+    """Writes each partition of *seqs* as a binary shard into *folder*, on any file system that executors reach by its
+    URI. Once computed, the result has a row per window: path, row (its place in the shard), sequence_id, n_tokens,
+    n_segments, and ids_crc32 of its row of ids.
+
+    A shard: MAGIC, version, window (unsigned 32-bit numbers); the rows of 16-bit ids; rows + 1 offsets into the segments
+    (64-bit); per segment its end in the row (32-bit), which implies where positions restart; rows and segments (64-bit).
+    Ids are written as they come; only the segments' ends are held. A task writes under a name of its own attempt and
+    renames at the end, so a lost executor leaves no half shard. Empty partitions write none.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = [(r["ids"], r["cu_seqlens"]) for b in batches for r in b.select(["ids", "cu_seqlens"]).to_pylist()]
-        if not rows:
-            return
+        files, base = _file_system(folder)
         ctx = TaskContext.get()
-        path = os.path.join(folder, f"part-{ctx.partitionId():06d}.mwpk")
+        path = f"{base}/part-{ctx.partitionId():06d}.mwpk"
         tmp = f"{path}.{ctx.taskAttemptId()}.tmp"
-        ends = [e for _, cu in rows for e in cu[1:]]
-        offsets = np.cumsum([0, *(len(cu) - 1 for _, cu in rows)]).astype("<u8")
-        with open(tmp, "wb") as f:
-            f.write(MAGIC + struct.pack("<4I", 1, window, len(rows), len(ends)))
-            for ids, _ in rows:
-                f.write(ids)
-            f.write(offsets.tobytes())
-            f.write(np.array(ends, "<u4").tobytes())
-            size = f.tell()
-        os.replace(tmp, path)
-        tokens = sum(cu[-1] for _, cu in rows)
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (path, len(rows), tokens, len(ends), size)], ["path", "n_sequences", "n_tokens", "n_segments", "bytes"])
-
-    os.makedirs(folder, exist_ok=True)
-    return seqs.select("ids", "cu_seqlens").mapInArrow(write, MANIFEST)
+        out, ends, offsets = None, array("I"), array("Q", [0])
+        for b in batches:
+            if out is None and b.num_rows:
+                files.create_dir(base, recursive=True)
+                out = files.open_output_stream(tmp)
+                out.write(MAGIC + struct.pack("<2I", VERSION, window))
+            first, crc = len(offsets) - 1, []
+            cu = b.column("cu_seqlens").to_pylist()
+            for ids, c in zip(b.column("ids"), cu):
+                raw = ids.as_py()
+                out.write(raw)
+                crc.append(zlib.crc32(raw))
+                ends.extend(c[1:])
+                offsets.append(len(ends))
+            n = pa.array([c[-1] for c in cu], pa.int64())
+            rows = [pa.array([path] * len(cu), pa.string()), pa.array(range(first, first + len(cu)), pa.int64()), b.column("sequence_id"), n, pa.array([len(c) - 1 for c in cu], pa.int64()), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(rows, ["path", "row", "sequence_id", "n_tokens", "n_segments", "ids_crc32"])
+        if out is not None:
+            out.write(np.array(offsets, "<u8").tobytes() + np.array(ends, "<u4").tobytes() + struct.pack("<2Q", len(offsets) - 1, len(ends)))
+            out.close()
+            files.move(tmp, path)
+
+    return seqs.select("sequence_id", "ids", "cu_seqlens").mapInArrow(write, INDEX)
+
+
+def manifest(index: DataFrame) -> DataFrame:
+    """path, n_sequences, n_tokens, n_segments of each shard of a computed result of write_shards."""
+    return index.groupBy("path").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_segments").alias("n_segments"))
 
 
 def read_shard(path: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """The id matrix, each row's cumulative segment lengths, and the matrix of position ids."""
-    with open(path, "rb") as f:
+    files, name = _file_system(path)
+    with files.open_input_stream(name) as f:
         raw = f.read()
-    version, window, rows, segments = struct.unpack("<4I", raw[4:20])
-    if raw[:4] != MAGIC or version != 1:
+    version, window = struct.unpack("<2I", raw[4:12])
+    if raw[:4] != MAGIC or version != VERSION:
         raise ValueError(f"{path} isn't a packed shard")
-    at = 20 + rows * window * 2
-    ids = np.frombuffer(raw[20:at], "<u2").reshape(rows, window)
+    rows, segments = struct.unpack("<2Q", raw[-16:])
+    at = 12 + rows * window * 2
+    ids = np.frombuffer(raw[12:at], "<u2").reshape(rows, window)
     offsets = np.frombuffer(raw[at : at + 8 * (rows + 1)], "<u8")
-    ends = np.frombuffer(raw[at + 8 * (rows + 1) :], "<u4")
+    ends = np.frombuffer(raw[at + 8 * (rows + 1) : -16], "<u4")
     assert len(ends) == segments
     cu = [np.concatenate(([0], ends[int(a) : int(b)])) for a, b in zip(offsets, offsets[1:])]
     positions = np.zeros((rows, window), "<u2")
@@ -114,8 +136,8 @@ def read_shard(path: str) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as packed windows."""
-    return sequences(table(spark, sf_dir, "documents"))
+    """All documents as packed windows, written as shards into the shared folder; a row per window, with its shard."""
+    return write_shards(sequences(table(spark, sf_dir, "documents")), own_folder(spark, "shards"))
 
 
 QUERIES = {"op8_token_output": op8_token_output}

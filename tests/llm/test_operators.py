@@ -246,8 +246,11 @@ def test_packed_matrices_round_trip(spark, tmp_path, monkeypatch):
     rows = docs_to_pack()
     seqs = token_output.sequences(table(spark, rows), window=256)
     kept = seqs.collect()
-    manifest = token_output.write_shards(spark.createDataFrame(kept, seqs.schema), str(tmp_path / "out"), 256).collect()
+    index = token_output.write_shards(spark.createDataFrame(kept, seqs.schema), f"file://{tmp_path}/out", 256)
+    index = spark.createDataFrame(index.collect(), index.schema)
+    manifest = token_output.manifest(index).collect()
     assert sum(m.n_sequences for m in manifest) == len(kept) and not list((tmp_path / "out").glob("*.tmp"))
+    assert {(x.sequence_id, x.ids_crc32) for x in index.collect()} == {(x.sequence_id, zlib.crc32(x.ids)) for x in kept}
     pieces = {}
     for x in kept:
         ids = np.frombuffer(x.ids, "<u2")
