@@ -17,7 +17,7 @@ from .packing import bucket_packer, with_buckets
 from .tokens import WINDOW, pieces
 
 #: Bytes of text to a bucket, about: what one packing task holds as ids.
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 24
 PAD_ID = 0
 SEQUENCE = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, doc_ids array<long>, starts array<long>"
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 import zlib
@@ -31,10 +32,15 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     """Text to the ids that the tokenizers library gives without special tokens added. Texts that hold a string of an
     added token go through it; for all others the rank file beside the vocabulary, where there is one, gives the same
     ids several times as fast."""
-    from tokenizers import Tokenizer
+    library: list = []  # loaded by the first text that needs it
+
+    def slow(text: str) -> list[int]:
+        if not library:
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_file(path))
+        return library[0].encode(text, add_special_tokens=False).ids
 
-    whole = Tokenizer.from_file(path)
-    slow = lambda text: whole.encode(text, add_special_tokens=False).ids
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
         return slow
@@ -44,7 +50,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-    added = re.compile("|".join(re.escape(t.content) for t in whole.get_added_tokens_decoder().values()) or "(?!)")
+    with open(path, encoding="utf-8") as f:
+        added = re.compile("|".join(re.escape(t["content"]) for t in json.load(f)["added_tokens"]) or "(?!)")
     return lambda text: slow(text) if added.search(text) else fast(text)
 
 
