@@ -15,10 +15,10 @@ earlier line. Only DataFrame operations are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, few, table, unused, words, written
+from .common import BLANKS, ascii_lower, few, freed, table, unused, words, written
 
 LEAST_WORDS = 5
 #: Edits at most, in production.
@@ -109,35 +109,45 @@ def near_lines(docs: DataFrame, bound: int = 1) -> DataFrame:
     all_ = written(
         lines.select("doc_id", "line", size.alias("n"), F.xxhash64("h").alias("f"), F.xxhash64(F.lit(1), "h").alias("f2"), odd.alias("odd"), _keys(size, bound).alias("keys")), "lines"
     )
-    first = written(all_.groupBy("f", "f2", "n").agg(F.min(_order()).alias("at"), F.first("odd").alias("odd"), F.first("keys").alias("keys")), "distinct")
-    some = first.where(F.size("keys") > 0).select("f", "n", F.explode("keys").alias("k"))
-    shared = some.groupBy("k").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("most")).where("c > 1")
-    few = F.col("c") <= F.greatest(F.lit(FEW_LINES), F.col("most") * F.col("most") * FEW_OF_SQUARE)
-    hits = written(some.select("f", "k").join(shared.select("k", few.alias("few")), "k"), "shared")
-    few_hits = hits.where("few").select("k", "f")
-    pairs = few_hits.join(few_hits.withColumnRenamed("f", "g"), "k").where("f < g").select("f", "g").distinct()
-    ends = first.where(F.size("keys") > 0).select("f", "n", "at", "odd")
-    pairs = pairs.join(ends, "f").join(ends.withColumnsRenamed({"f": "g", "n": "m", "at": "to", "odd": "odds"}), "g")
+    first = written(all_.groupBy("f", "f2", "n").agg(F.min(_order()).alias("at"), F.count(F.lit(1)).alias("lines"), F.first("odd").alias("odd"), F.first("keys").alias("keys")), "distinct")
+    hits = _shared(first)
+    ends = first.where(F.size("keys") > 0).select("f", "f2", "n", "at", "odd")
+    met = written(hits.join(ends, "f"), "met")
+    freed(hits)
+    a = met.where("few").select("k", "f", "n", "at", "odd")
+    b = a.withColumnsRenamed({"f": "g", "n": "m", "at": "to", "odd": "odds"})
+    # The join itself drops the pairs too far apart, before any of them is shuffled.
     edits = _edits(F.least("n", "m"), bound)
-    pairs = pairs.where((F.abs(F.col("n") - F.col("m")) <= edits) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("odds"))) <= 2 * edits))
-    pairs = pairs.select(F.greatest("at", "to").alias("at"), F.least("at", "to").alias("top"))
-    likely = first.join(hits.where("NOT few").select("f").distinct(), "f", "left_semi")
-    likely = written(likely.select("f", "f2", "at.doc_id", "at.line"), "likely")
+    near = (F.abs(F.col("n") - F.col("m")) <= edits) & (F.bit_count(F.col("odd").bitwiseXOR(F.col("odds"))) <= 2 * edits)
+    pairs = a.join(b, "k").where((F.col("f") < F.col("g")) & near).select(F.greatest("at", "to").alias("at"), F.least("at", "to").alias("top"))
+    likely = written(met.where("NOT few").select("f", "f2", "at.doc_id", "at.line").distinct(), "likely")
     variants = _variants(docs, likely, bound)
-    tops = variants.groupBy("v", "gaps").agg(F.min("at").alias("top"))
-    several = variants.groupBy("v").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a < b").select("v")
-    tops = written(tops.join(several, "v", "left_semi"), "tops")
+    tops = written(variants.groupBy("v", "gaps").agg(F.min("at").alias("top")), "tops")
     other = tops.select("v", F.col("gaps").alias("other"), F.col("top").alias("by"))
     best = tops.join(other, "v").where(F.size(F.array_union("gaps", "other")) <= bound).groupBy("v", "gaps").agg(F.collect_set("by").alias("by"))
     grouped = variants.join(best, ["v", "gaps"]).select("at", F.explode("by").alias("top")).where("at > top")
     proposed = written(pairs.union(grouped).groupBy("at").agg(F.array_sort(F.collect_set("top")).alias("tops")), "proposed")
+    freed(met, likely, variants, tops)
     checked = _verified(docs, proposed, bound)
     # Every line goes that equals an earlier one, or whose text goes for an earlier near one.
-    verdict = first.select("f", "f2", "n", F.col("at").alias("first")).join(checked, F.col("first") == F.col("at"), "left").select("f", "f2", "n", "first", "top")
+    verdict = first.select("f", "f2", "n", "lines", F.col("at").alias("first")).join(checked, F.col("first") == F.col("at"), "left")
+    verdict = verdict.where((F.col("lines") > 1) | F.col("top").isNotNull()).select("f", "f2", "n", "first", "top")
     out = all_.withColumn("at", _order()).join(verdict, ["f", "f2", "n"])
     gone = out.where(F.col("top").isNotNull() | (F.col("at") > F.col("first")))
     keep = F.coalesce("top", "first")
-    return written(gone.select("doc_id", "line", keep["doc_id"].alias("kept_doc_id"), keep["line"].alias("kept_line")).distinct(), "near_lines")
+    gone = written(gone.select("doc_id", "line", keep["doc_id"].alias("kept_doc_id"), keep["line"].alias("kept_line")).distinct(), "near_lines")
+    freed(all_, first, proposed, checked)
+    return gone
+
+
+def _shared(first: DataFrame) -> DataFrame:
+    """k, f, few: the segments that several of the distinct lines have, a row for each line, and whether these are few.
+    A window over the segments, so that each is shuffled once."""
+    of = Window.partitionBy("k")
+    some = first.where(F.size("keys") > 0).select("f", "n", F.explode("keys").alias("k"))
+    some = some.withColumns({"c": F.count(F.lit(1)).over(of), "most": F.max("n").over(of)}).where("c > 1")
+    few = F.col("c") <= F.greatest(F.lit(FEW_LINES), F.col("most") * F.col("most") * FEW_OF_SQUARE)
+    return written(some.select("k", "f", few.alias("few")), "shared")
 
 
 def _picked(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -151,11 +161,13 @@ def _picked(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 def _variants(docs: DataFrame, likely: DataFrame, bound: int) -> DataFrame:
     """v, gaps, at: hashes of the likely lines and of their variants without as many words as may be edited, and the
-    gaps where these stood; a gap's number is its place times bound, and one more for each further word of it."""
+    gaps where these stood; a gap's number is its place times bound, and one more for each further word of it. Variants
+    that a single line has are left out."""
     d = _picked(docs, likely.select("doc_id", "line")).withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     d = d.withColumn("f", F.xxhash64("h")).withColumn("f2", F.xxhash64(F.lit(1), "h"))
     d = d.join(likely.select("doc_id", "line", "f", "f2").withColumnsRenamed({"doc_id": "__id", "line": "__l"}), ["f", "f2"]).where(F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__l") == F.col("line")))
-    step = d.select(_order().alias("at"), "h").distinct().select("at", "h", _edits(F.size("h"), bound).alias("edits"), F.array().cast("array<int>").alias("gaps"), F.lit(0).alias("place"))
+    full = written(d.select(_order().alias("at"), "h").distinct(), "likely_words")
+    step = full.select("at", "h", _edits(F.size("h"), bound).alias("edits"), F.array().cast("array<int>").alias("gaps"), F.lit(0).alias("place"))
     v = step
     for k in range(1, bound + 1):
         # Words go from front to back, so that each choice of words is taken once.
@@ -166,7 +178,14 @@ def _variants(docs: DataFrame, likely: DataFrame, bound: int) -> DataFrame:
         rest = F.concat(F.slice("h", F.lit(1), F.col("place")), F.slice("h", F.col("place") + 2, F.size("h")))
         step = left.select("at", rest.alias("h"), "edits", F.concat("gaps", F.array(gap)).alias("gaps"), "place")
         v = v.union(step)
-    return written(v.select(F.xxhash64("h").alias("v"), "gaps", "at"), "variants")
+    # Plain columns in the shuffle, that compress; the arrays and structs are made behind it.
+    gaps = [f"g{k}" for k in range(bound)]
+    v = v.select(F.xxhash64("h").alias("v"), "at.doc_id", "at.line", *(F.get("gaps", F.lit(k)).alias(g) for k, g in enumerate(gaps))).repartition("v")
+    of = Window.partitionBy("v")
+    v = v.select("v", F.array_compact(F.array(*gaps)).alias("gaps"), _order().alias("at")).withColumns({"a": F.min("at").over(of), "b": F.max("at").over(of)})
+    shared = written(v.where("a < b").select("v", "gaps", "at"), "variants")
+    freed(full)
+    return shared
 
 
 def _verified(docs: DataFrame, proposed: DataFrame, bound: int) -> DataFrame:
@@ -177,7 +196,9 @@ def _verified(docs: DataFrame, proposed: DataFrame, bound: int) -> DataFrame:
     a, b = texts.select(F.col("p").alias("at"), F.col("w").alias("wa")), texts.select(F.col("p").alias("top"), F.col("w").alias("wb"))
     edits = _edits(F.least(F.size("wa"), F.size("wb")), bound)
     sure = pair.join(a, "at").join(b, "top").where(within_edits(F.col("wa"), F.col("wb"), edits, bound))
-    return written(sure.groupBy("at").agg(F.min("top").alias("top")), "verified")
+    sure = written(sure.groupBy("at").agg(F.min("top").alias("top")), "verified")
+    freed(texts)
+    return sure
 
 
 def dedup_lines(docs: DataFrame, bound: int = BOUND) -> DataFrame:

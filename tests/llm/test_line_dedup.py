@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from maskwright.llm import common
 from maskwright.llm import line_dedup as L
 
 from . import brute
@@ -71,3 +72,19 @@ def test_long_line_with_two_edits_goes_in_production(spark, tmp_path):
     rows = [(1, " ".join(w)), (2, " ".join("x" if i in (7, 31) else x for i, x in enumerate(w))), (3, " ".join(w[:20] + ["x"] + w[20:40] + w[41:])), (4, " ".join("x" if i in (7, 20, 31) else x for i, x in enumerate(w)))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {x.doc_id: x.n_gone for x in L.op6_line_dedup(spark, str(tmp_path)).select("doc_id", F.col("n_gone")).collect()} == {1: 0, 2: 1, 3: 1, 4: 1}
+
+
+def test_only_the_result_stays_on_the_disk(spark):
+    had = len(common._written)
+    L.near_lines(spark.createDataFrame(corpus(), "doc_id long, text string"), 2)
+    assert len(common._written) == had + 1
+
+
+def test_variants_of_a_single_line_are_left_out(spark):
+    texts = [(1, "a b c d e f g h i j"), (2, "a b c d e x g h i j"), (3, "k l m n o p q r s t"), (None, "k l m n o p q r s u"), (5, "0 1 2 3 4 5 6 7 8 9")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    h = F.transform(F.split("text", " "), lambda x: F.xxhash64(x))
+    likely = docs.select("doc_id", F.lit(0).alias("line"), F.xxhash64(h).alias("f"), F.xxhash64(F.lit(1), h).alias("f2"))
+    got = L._variants(docs, likely, 2).groupBy("at.doc_id").count().collect()
+    # Without the word that differs, and without it and any of the other nine.
+    assert {x.doc_id: x["count"] for x in got} == {1: 10, 2: 10, 3: 10, None: 10}
