@@ -48,3 +48,11 @@ def test_production_tells_the_order_of_words(spark, tmp_path):
     want = brute.backoff_scores(texts, 3, L.BACKOFF)
     assert got == pytest.approx({i: s for i, (_, s) in enumerate(want)})
     assert got[3] != pytest.approx(brute.backoff_scores(texts, 2, L.BACKOFF)[3][1])
+
+
+def test_codes_are_near_the_shortest():
+    r = np.random.default_rng(2)
+    h = np.unique(r.integers(0, 1 << 57, 18000, dtype=np.uint64))  # a batch's part of 128 partitions
+    c = np.where(r.random(len(h)) < 0.1, 2, 1)
+    assert len(L.pack(h, c)) < 6 * len(h)  # log2(2^57 / 18000) + 1.44 bits each at least, and 0.5 of counts
+    assert (L.unpack(L.pack(h, c))[1] == c).all()
