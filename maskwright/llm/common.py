@@ -62,11 +62,11 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """*df* as a Parquet table in the shared folder: cuts lineage, and outlives any executor."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """*df* as a Parquet table in the shared folder, written with *options*: cuts lineage, and outlives any executor."""
     spark = df.sparkSession
     path = own_folder(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out

@@ -15,10 +15,13 @@ earlier line. Only DataFrame operations are used.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, few, freed, table, unused, words, written
+from .common import BLANK_RUN, BLANKS, ascii_lower, few, freed, table, unused, written
 
 LEAST_WORDS = 5
 #: Edits at most, in production.
@@ -27,13 +30,27 @@ BOUND = 2
 FEW_LINES, FEW_OF_SQUARE = 64, 1 / 64
 #: Document ids (8 bytes each) up to which documents are selected by a broadcast, not a shuffle.
 FEW_IDS = 1_000_000
+#: How tables of hashes are written: a dictionary of them is built in vain, and slow to read.
+PLAIN = {"parquet.enable.dictionary": "false"}
+
+
+def _has_words(text: Column) -> Column:
+    return F.ltrim(text, F.lit(BLANKS)) != ""
+
+
+def _words(line: Column) -> Column:
+    """As words(), for a line that has some: no btrim, which takes two arrays as long as the text, and a pattern only
+    where words aren't separated by single spaces."""
+    other = reduce(or_, (line.contains(x) for x in BLANKS[1:]), line.startswith(" ") | line.endswith(" ") | line.rlike("  "))
+    return F.when(other, F.array_remove(F.split(line, BLANK_RUN), "")).otherwise(F.split(line, " "))
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, line, w: the lines that have words."""
-    text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    """doc_id, line, w: the lines that have words. Lower-cased one by one: most have one byte a character."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *more, F.posexplode(F.split(text, "\n")).alias("line", "t"))
-    return d.where(F.btrim("t", F.lit(BLANKS)) != "").select("doc_id", *more, "line", words(F.col("t")).alias("w"))
+    d = d.where(_has_words(F.col("t"))).select("doc_id", *more, "line", ascii_lower(F.col("t")).alias("t"))
+    return d.select("doc_id", *more, "line", _words(F.col("t")).alias("w"))
 
 
 def _edits(size: Column, bound: int) -> Column:
@@ -80,8 +97,10 @@ def within_edits(a: Column, b: Column, edits: Column, bound: int) -> Column:
 
     def along(i: Column, diagonal: Column) -> Column:
         left = F.least(n - i, m - i - diagonal)
-        differ = F.array_position(F.zip_with(F.slice(a, i + 1, left), F.slice(b, i + diagonal + 1, left), lambda x, y: x == y), F.lit(False)).cast("int")
-        return F.when((i < 0) | (left <= 0), i).otherwise(i + F.when(differ > 0, differ - 1).otherwise(left))
+        same = F.zip_with(F.slice(a, i + 1, left), F.slice(b, i + diagonal + 1, left), lambda x, y: x == y)
+        # One more that differs, so that the words are compared once, whether any differs or not.
+        equal = F.array_position(F.concat(same, F.array(F.lit(False))), F.lit(False)).cast("int") - 1
+        return F.when((i < 0) | (left <= 0), i).otherwise(i + equal)
 
     def step(at: Column, _: Column) -> Column:
         moved = F.transform(at, lambda i, k: F.least(n, m - (k - bound), F.greatest(i + 1, F.when(k > 0, F.get(at, k - 1)), F.get(at, k + 1) + 1)))
@@ -107,12 +126,12 @@ def near_lines(docs: DataFrame, bound: int = 1) -> DataFrame:
     # Of 64 classes of words, which the line has an odd number of; an edit changes two bits at most.
     odd = F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
     all_ = written(
-        lines.select("doc_id", "line", size.alias("n"), F.xxhash64("h").alias("f"), F.xxhash64(F.lit(1), "h").alias("f2"), odd.alias("odd"), _keys(size, bound).alias("keys")), "lines"
+        lines.select("doc_id", "line", size.alias("n"), F.xxhash64("h").alias("f"), F.xxhash64(F.lit(1), "h").alias("f2"), odd.alias("odd"), _keys(size, bound).alias("keys")), "lines", **PLAIN
     )
-    first = written(all_.groupBy("f", "f2", "n").agg(F.min(_order()).alias("at"), F.count(F.lit(1)).alias("lines"), F.first("odd").alias("odd"), F.first("keys").alias("keys")), "distinct")
+    first = written(all_.groupBy("f", "f2", "n").agg(F.min(_order()).alias("at"), F.count(F.lit(1)).alias("lines"), F.first("odd").alias("odd"), F.first("keys").alias("keys")), "distinct", **PLAIN)
     hits = _shared(first)
     ends = first.where(F.size("keys") > 0).select("f", "f2", "n", "at", "odd")
-    met = written(hits.join(ends, "f"), "met")
+    met = written(hits.join(ends, "f"), "met", **PLAIN)
     freed(hits)
     a = met.where("few").select("k", "f", "n", "at", "odd")
     b = a.withColumnsRenamed({"f": "g", "n": "m", "at": "to", "odd": "odds"})
@@ -130,9 +149,9 @@ def near_lines(docs: DataFrame, bound: int = 1) -> DataFrame:
     freed(met, likely, variants, tops)
     checked = _verified(docs, proposed, bound)
     # Every line goes that equals an earlier one, or whose text goes for an earlier near one.
-    verdict = first.select("f", "f2", "n", "lines", F.col("at").alias("first")).join(checked, F.col("first") == F.col("at"), "left")
+    verdict = first.select("f", "f2", "n", "lines", F.col("at").alias("first")).join(few(checked), F.col("first") == F.col("at"), "left")
     verdict = verdict.where((F.col("lines") > 1) | F.col("top").isNotNull()).select("f", "f2", "n", "first", "top")
-    out = all_.withColumn("at", _order()).join(verdict, ["f", "f2", "n"])
+    out = all_.withColumn("at", _order()).join(verdict.hint("shuffle_hash"), ["f", "f2", "n"])
     gone = out.where(F.col("top").isNotNull() | (F.col("at") > F.col("first")))
     keep = F.coalesce("top", "first")
     gone = written(gone.select("doc_id", "line", keep["doc_id"].alias("kept_doc_id"), keep["line"].alias("kept_line")).distinct(), "near_lines")
@@ -147,7 +166,7 @@ def _shared(first: DataFrame) -> DataFrame:
     some = first.where(F.size("keys") > 0).select("f", "n", F.explode("keys").alias("k"))
     some = some.withColumns({"c": F.count(F.lit(1)).over(of), "most": F.max("n").over(of)}).where("c > 1")
     few = F.col("c") <= F.greatest(F.lit(FEW_LINES), F.col("most") * F.col("most") * FEW_OF_SQUARE)
-    return written(some.select("k", "f", few.alias("few")), "shared")
+    return written(some.select("k", "f", few.alias("few")), "shared", **PLAIN)
 
 
 def _picked(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -178,12 +197,14 @@ def _variants(docs: DataFrame, likely: DataFrame, bound: int) -> DataFrame:
         rest = F.concat(F.slice("h", F.lit(1), F.col("place")), F.slice("h", F.col("place") + 2, F.size("h")))
         step = left.select("at", rest.alias("h"), "edits", F.concat("gaps", F.array(gap)).alias("gaps"), "place")
         v = v.union(step)
-    # Plain columns in the shuffle, that compress; the arrays and structs are made behind it.
+    # Plain columns up to here, which compress in the shuffle; arrays and structs are made of the few rows that stay.
     gaps = [f"g{k}" for k in range(bound)]
     v = v.select(F.xxhash64("h").alias("v"), "at.doc_id", "at.line", *(F.get("gaps", F.lit(k)).alias(g) for k, g in enumerate(gaps))).repartition("v")
     of = Window.partitionBy("v")
-    v = v.select("v", F.array_compact(F.array(*gaps)).alias("gaps"), _order().alias("at")).withColumns({"a": F.min("at").over(of), "b": F.max("at").over(of)})
-    shared = written(v.where("a < b").select("v", "gaps", "at"), "variants")
+    ends = {f"{end}_{c}": getattr(F, end)(c).over(of) for c in ("doc_id", "line") for end in ("min", "max")}
+    v = v.withColumns(ends | {"rows": F.count(F.lit(1)).over(of), "ids": F.count("doc_id").over(of)})
+    several = F.coalesce(F.col("min_doc_id") < F.col("max_doc_id"), F.lit(False)) | (F.col("min_line") < F.col("max_line")) | ((F.col("ids") > 0) & (F.col("ids") < F.col("rows")))
+    shared = written(v.where(several).select("v", F.array_compact(F.array(*gaps)).alias("gaps"), _order().alias("at")), "variants")
     freed(full)
     return shared
 
@@ -215,7 +236,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines (with words), n_gone, gone (their numbers, from 0) of every document."""
     docs = table(spark, sf_dir, "documents")
     gone = near_lines(docs, BOUND).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("gone")).withColumnRenamed("doc_id", "__id")
-    has = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
+    has = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), _has_words)).cast("long")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), has.alias("n_lines"))
     d = d.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     none = F.array().cast("array<int>")

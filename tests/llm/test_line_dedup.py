@@ -88,3 +88,31 @@ def test_variants_of_a_single_line_are_left_out(spark):
     got = L._variants(docs, likely, 2).groupBy("at.doc_id").count().collect()
     # Without the word that differs, and without it and any of the other nine.
     assert {x.doc_id: x["count"] for x in got} == {1: 10, 2: 10, 3: 10, None: 10}
+
+
+def test_words_of_odd_lines(spark):
+    text = "\n".join(("a b", " a  b ", "a\tB\x0bc\x0cd\re", "", " ", "\t", "\r", "É Ab", "İI ẞ", "a\u00a0B c", "a ", " a", "\x1c A"))
+    got = L._lines(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    want = {(1, i): brute.words(brute.ascii_lower(x)) for i, x in enumerate(text.split("\n")) if brute.words(x)}
+    assert {(x.doc_id, x.line): x.w for x in got} == want
+
+
+def test_words_are_cut_without_trimming_and_compared_once(spark):
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert " trim(" not in plan(L._lines(docs)) and "(trim(" not in plan(L._lines(docs))
+    w = F.split("text", " ")
+    # Where the alignment starts, and after each edit.
+    assert plan(docs.select(L.within_edits(w, w, F.lit(2), 2).alias("near"))).count("zip_with(") == 2
+
+
+def test_tables_of_hashes_have_no_dictionaries(spark, monkeypatch):
+    made, write = {}, L.written
+
+    def noted(df, name, **options):
+        made[name] = options
+        return write(df, name, **options)
+
+    monkeypatch.setattr(L, "written", noted)
+    L.near_lines(spark.createDataFrame(corpus(), "doc_id long, text string"), 2)
+    assert {n for n, o in made.items() if o.get("parquet.enable.dictionary") == "false"} == {"lines", "distinct", "shared", "met"}
