@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from ..functions.keys import MaskError, Secret, token_pads
 
 SCHEMA = "mode string, scope string, token string, original string, entity_type string"
-#: Values that may share the first eight digits of their HMAC.
-MOST_COLLISIONS = 10_000
+#: Digits of the HMAC in a token, and values that may share so many before allocation refuses, as a sign of a broken mapping.
+#: Fewer digits are shared by ever more values, so those are counted without bound.
+DIGITS, MOST_COLLISIONS = 8, 10_000
 
 
 class MappingError(MaskError):
@@ -37,7 +38,7 @@ def with_pads(df: DataFrame, secret: Secret) -> DataFrame:
     return df.join(F.broadcast(pads))  # one row
 
 
-def allocate(values: DataFrame, secret: Secret, existing: DataFrame | None = None, digits: int = 8) -> DataFrame:
+def allocate(values: DataFrame, secret: Secret, existing: DataFrame | None = None, digits: int = DIGITS) -> DataFrame:
     """values (original, entity_type, seen) -> the mapping rows of all their originals.
 
     A value keeps its token in *existing*. New ones take the first *digits* digits of their HMAC; of those that agree in
@@ -57,7 +58,10 @@ def allocate(values: DataFrame, secret: Secret, existing: DataFrame | None = Non
         new = new.withColumn("taken", F.lit(0))
     nth = F.row_number().over(Window.partitionBy("h").orderBy("seen", "original")) + F.coalesce("taken", F.lit(0))
     new = new.withColumn("nth", nth)
-    token = F.when(F.col("nth") == 1, F.col("h")).when(F.col("nth") > MOST_COLLISIONS, F.raise_error(F.lit("too many values share a token")).cast("string")).otherwise(F.concat("h", F.lit("-"), F.col("nth").cast("string")))
+    token = F.when(F.col("nth") == 1, F.col("h"))
+    if digits >= DIGITS:
+        token = token.when(F.col("nth") > MOST_COLLISIONS, F.raise_error(F.lit("too many values share a token")).cast("string"))
+    token = token.otherwise(F.concat("h", F.lit("-"), F.col("nth").cast("string")))
     new = new.select(F.lit("hmac").alias("mode"), F.lit(None).cast("string").alias("scope"), token.alias("token"), "original", "entity_type")
     return new if existing is None else existing.unionByName(new)
 

@@ -100,6 +100,16 @@ def test_collisions_count_on_and_old_tokens_stay(spark):
     assert a.count("-") > 30 and restore(r.documents, r.mapping).first().text == texts[0]
 
 
+def test_short_tokens_are_counted_without_bound(spark):
+    v = spark.createDataFrame([("new", "TERM", 0)], "original string, entity_type string, seen int")
+    h = keys.full_token(SECRET, "new")
+    held = lambda n: spark.createDataFrame([("hmac", None, f"{h[:n]}-{M.MOST_COLLISIONS}", "old", "TERM")], M.SCHEMA)
+    tokens = {x.original: x.token for x in M.allocate(v, SECRET, held(1), digits=1).collect()}
+    assert tokens["new"] == f"{h[0]}-{M.MOST_COLLISIONS + 1}"
+    with pytest.raises(Exception, match="too many values share a token"):  # so many whole tokens can only be a broken mapping
+        M.allocate(v, SECRET, held(M.DIGITS)).collect()
+
+
 def test_restore_leaves_unknown_tokens(spark):
     m = spark.createDataFrame([("hmac", None, "abcdef12", "one", "TERM"), ("hmac", None, "abcdef12-2", "two", "TERM")], M.SCHEMA)
     (a,) = restore(docs(spark, "[[PERSON_deadbeef]] [[TERM_abcdef12]] [[X_abcdef12-2]] [[bad]]"), m).collect()
